@@ -65,10 +65,10 @@ class Model:
         """counts: a row of BUCKETS for each language."""
         self.langs = langs
         total = counts.sum(axis=1, keepdims=True)
-        self.logs = np.ascontiguousarray(np.log((counts + SMOOTH) / (total + SMOOTH * BUCKETS)).T.astype(np.float32))
+        self.logs = np.ascontiguousarray(np.log((counts + SMOOTH) / (total + SMOOTH * BUCKETS)).astype(np.float32))
 
     def likelihoods(self, raw: bytes) -> np.ndarray:
-        """A row for each word: its likelihood in each language over the largest, with a floor for strays."""
+        """A column for each word: its likelihood in each language over the largest, with a floor for strays."""
         n, parts, at = len(self.langs), [], 0
         step = max(1 << 16, PIECE // (4 * n))
         while at < len(raw):
@@ -77,37 +77,37 @@ class Model:
                 end = (raw.find(b" ", end, end + step) + 1) or end
             bucket, start = _grams(b" " + raw[at:end] + b" ")
             if len(start):
-                x = np.add.reduceat(self.logs[bucket], start, axis=0)
-                x -= x.max(axis=1, keepdims=True)
-                parts.append(np.exp(x) * (1 - FLOOR) + FLOOR)
+                x = np.stack([np.add.reduceat(log[bucket], start) for log in self.logs])
+                x -= x.max(axis=0)
+                parts.append(np.exp(x) * np.float32(1 - FLOOR) + np.float32(FLOOR))
             at = end
-        return np.concatenate(parts) if parts else np.zeros((0, n), np.float32)
+        return np.concatenate(parts, axis=1) if parts else np.zeros((n, 0), np.float32)
 
     def mixtures(self, q: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Of words q, documents beginning at first (none is empty): proportions, and which languages are in the set."""
-        n = np.diff(np.append(first, len(q)))
+        """Of words q, documents beginning at first (none is empty): proportions, and which languages are in the set. A row for each language."""
+        n = np.diff(np.append(first, q.shape[1]))
         doc = np.repeat(np.arange(len(first)), n)
 
         def em(pi: np.ndarray, rounds: int) -> tuple[np.ndarray, np.ndarray]:
             for _ in range(rounds):
-                r = q * pi[doc]
-                r /= r.sum(axis=1, keepdims=True)
-                pi = np.add.reduceat(r, first, axis=0) / n[:, None]
-                pi = pi.astype(np.float32)
-            return pi, np.add.reduceat(np.log(np.maximum((q * pi[doc]).sum(axis=1), 1e-30)), first)
-
-        full, _ = em(np.full((len(first), q.shape[1]), 1 / q.shape[1], np.float32), ROUNDS)
-        rank = np.argsort(np.argsort(-full, axis=1, kind="stable"), axis=1, kind="stable")
+                r = [a * p[doc] for a, p in zip(q, pi, strict=True)]
+                total = sum(r[1:], r[0])
+                pi = np.stack([np.add.reduceat(x / total, first) for x in r]) / n.astype(np.float32)
+            mixed = sum(a * p[doc] for a, p in zip(q, pi, strict=True))
+            return pi, np.add.reduceat(np.log(np.maximum(mixed, np.float32(1e-30))), first, dtype=np.float64)
+
+        full, _ = em(np.full((q.shape[0], len(first)), 1 / q.shape[0], np.float32), ROUNDS)
+        rank = np.argsort(np.argsort(-full, axis=0, kind="stable"), axis=0, kind="stable")
         size, best = np.ones(len(first), np.int64), None
-        for k in range(1, q.shape[1] + 1):
-            pi = np.where(rank < k, full + 1e-6, 0).astype(np.float32)
-            pi, ll = em(pi / pi.sum(axis=1, keepdims=True), 0 if k == 1 else 2)
+        for k in range(1, q.shape[0] + 1):
+            pi = np.where(rank < k, full + np.float32(1e-6), np.float32(0))
+            _, ll = em(pi / pi.sum(axis=0), 0)
             value = ll - PENALTY * k * np.log(n + 1)
             better = np.ones(len(first), bool) if best is None else (value > best) & (size == k - 1)
             size, best = np.where(better, k, size), value if best is None else np.where(better, value, best)
             if not better.any():
                 break
-        return full, rank < size[:, None]
+        return full, rank < size
 
     def predict(self, texts: list[str | None]) -> list[dict]:
         out: list[dict] = [{"lang": "und", "score": 0.0, "langs": [], "shares": []} for _ in texts]
@@ -117,14 +117,9 @@ class Model:
             while known and (not part or size + len(known[-1][1]) < PIECE // (4 * len(self.langs))):
                 part.append(known.pop())
                 size += len(part[-1][1])
-            q = self.likelihoods(b"  ".join(raw for _, raw in part) + b" ") if len(part) == 1 else None
-            if q is None:
-                each = [self.likelihoods(raw) for _, raw in part]
-                q, first = np.concatenate(each), np.cumsum([0, *(len(x) for x in each[:-1])])
-            else:
-                first = np.zeros(1, np.int64)
-            pi, inside = self.mixtures(q, first)
-            for (i, _), p, s in zip(part, pi.tolist(), inside.tolist(), strict=True):
+            each = [self.likelihoods(raw) for _, raw in part]
+            pi, inside = self.mixtures(np.concatenate(each, axis=1), np.cumsum([0, *(x.shape[1] for x in each[:-1])]))
+            for (i, _), p, s in zip(part, pi.T.tolist(), inside.T.tolist(), strict=True):
                 order = sorted((k for k in range(len(p)) if s[k]), key=lambda k: (-p[k], self.langs[k]))
                 out[i] = {"lang": self.langs[order[0]], "score": min(1.0, p[order[0]]), "langs": [self.langs[k] for k in order], "shares": [p[k] for k in order]}
         return out

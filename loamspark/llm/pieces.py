@@ -8,8 +8,8 @@ pieces, and maxima are taken over whole columns.
 * BPE models (such as the public vocabulary here): the right segmentation is that of the merges and not a Viterbi
   path, so in each round every word takes its best-scored, leftmost merge, by the same probes and maxima.
 
-Results equal those of the sentencepiece library, ids for ids. Each distinct word is checked: its
-pieces must spell it, else (a hash clash) it is segmented by plain strings.
+Results equal those of the sentencepiece library, ids for ids. The pieces of all texts are spelled out and compared
+with them; if a hash clash shows, they are segmented by plain strings.
 
 Defined cases: null gives null; the empty text has no ids; a literal U+2581 reads back as a space, as in the
 library; characters without a piece become bytes, or <unk>; ids outside the vocabulary decode to
@@ -33,11 +33,13 @@ from .common import bounded_batches, table
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
-BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
+BASE = np.uint64(0x9E3779B97F4A7C15)
+#: Brings the differences of short pieces into the leading bits.
+SPREAD = np.uint64(0xD6E8FEB86659FD93)
 #: Words beyond this length are segmented one by one with a heap, in n log n.
 LONG = 48
-#: Words kept between batches, and characters taken at once.
-CACHE, PIECE = 300_000, 4_000_000
+#: Characters taken at once; a longer text is taken whole.
+PIECE = 4_000_000
 NORMAL, UNKNOWN, BYTE = 1, 2, 6
 
 
@@ -113,87 +115,88 @@ class Pieces:
         one = [bytes([b]) for b in range(256)]
         back = {i: b for b, i in self.byte.items()}
         self.spell = [one[back[i]] if i in back else p.replace(MARK, " ").encode() if k == NORMAL else " ⁇ ".encode() if k == UNKNOWN else b"" for i, (p, k) in enumerate(zip(self.text, self.kind, strict=True))]
-        self.power = np.ones(LONG + self.most + 2, np.uint64)
-        with np.errstate(over="ignore"):
-            for i in range(1, len(self.power)):
-                self.power[i] = self.power[i - 1] * BASE
+        self.shift = np.uint64(64 - 17)
+        bounds = np.searchsorted(self.hash, np.arange(1 << 17, dtype=np.uint64) << self.shift)
+        self.lead = bounds.astype(np.int64)
+        self.steps = int(np.diff(np.append(bounds, len(self.hash))).max())
+        size = np.array([len(x) for x in self.spell], np.int64)
+        self.table = size, np.cumsum(size) - size, np.frombuffer(b"".join(self.spell), np.uint8)
+        self._powers = (np.ones(1, np.uint64),) * 2
         self.words = re.compile(r" +[^ \n]*|\n|[^ \n]+" if self.lines else r" +[^ ]*|[^ ]+")
 
+    def __getstate__(self) -> dict:
+        return self.__dict__ | {"_powers": (np.ones(1, np.uint64),) * 2}
+
+    def powers(self, n: int) -> tuple[np.ndarray, np.ndarray]:
+        """BASE^k and BASE^-k, modulo 2^64, for k below n at least."""
+        if len(self._powers[0]) < n:
+            out = []
+            for base in (int(BASE), pow(int(BASE), -1, 2**64)):
+                x = np.ones(1, np.uint64)
+                while len(x) < n:
+                    x = np.concatenate((x, x * np.uint64(pow(base, len(x), 2**64))))
+                out.append(x)
+            self._powers = (out[0], out[1])
+        return self._powers
+
     @staticmethod
     def _hash(piece: str) -> int:
         x = 0
         for c in piece:
             x = (x * int(BASE) + ord(c) + 1) % 2**64
-        return x
-
-    def _probe(self, prefix: np.ndarray, rows: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        """The ids of the pieces that rows' substrings from a to b are, else -1."""
-        h = prefix[rows, b] - prefix[rows, a] * self.power[b - a]
-        at = np.minimum(np.searchsorted(self.hash, h), len(self.hash) - 1)
-        return np.where((self.hash[at] == h) & (self.hash_size[at] == b - a), self.hash_id[at], -1)
-
-    def _same_length(self, words: list[str]) -> list[list[int]]:
-        """Ends of the pieces of words of one length."""
-        size = len(words[0])
-        code = np.frombuffer("".join(words).encode("utf-32-le"), "<u4").reshape(-1, size).astype(np.uint64) + np.uint64(1)
-        prefix = np.zeros((len(words), size + 1), np.uint64)
-        for k in range(size):
-            prefix[:, k + 1] = prefix[:, k] * BASE + code[:, k]
-        return (self._viterbi if self.unigram else self._merges)(prefix, len(words), size)
-
-    def _viterbi(self, prefix: np.ndarray, n: int, size: int) -> list[list[int]]:
-        rows = np.arange(n)
+        return x * int(SPREAD) % 2**64
+
+    def _same_length(self, text: _Text, at: np.ndarray, size: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """For words of one length that begin at `at`: which words, and the edges of their pieces, a row for each word."""
+        return (self._viterbi if self.unigram else self._merges)(text, at, size)
+
+    def _viterbi(self, text: _Text, at: np.ndarray, size: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        n, rows = len(at), np.arange(len(at))
         best, back = np.full((n, size + 1), -np.inf), np.zeros((n, size + 1), np.int64)
         best[:, 0] = 0
         for end in range(1, size + 1):
             for start in range(max(0, end - self.most), end):
-                i = self._probe(prefix, rows, np.full(n, start), np.full(n, end))
+                i = text.probe(at + start, at + end)
                 v = best[:, start] + np.where(i >= 0, self.value[i], self.low if end - start == 1 else -np.inf)
                 back[:, end] = np.where(v > best[:, end], start, back[:, end])
                 best[:, end] = np.maximum(best[:, end], v)
-        out: list[list[int]] = []
-        for row in back.tolist():
-            ends, at = [], size
-            while at:
-                ends.append(at)
-                at = row[at]
-            out.append(ends[::-1])
-        return out
-
-    def _merges(self, prefix: np.ndarray, n: int, size: int) -> list[list[int]]:
-        out: list[list[int]] = [[]] * n
-        word, rows = np.arange(n), np.arange(n)
-        edge = np.tile(np.arange(size + 1), (n, 1))
-
-        def pair(k: np.ndarray) -> np.ndarray:
-            ok = (k >= 0) & (k + 2 < edge.shape[1])
-            kk = np.where(ok, k, 0)
-            i = self._probe(prefix, word, edge[rows, kk], edge[rows, np.minimum(kk + 2, edge.shape[1] - 1)])
-            return np.where(ok & (i >= 0), self.value[i], -np.inf)
-
-        score = np.stack([pair(np.full(n, k)) for k in range(size - 1)], axis=1) if size > 1 else np.zeros((n, 0))
+        now, path = np.full(n, size), [np.full(n, size)]
+        while now.any():
+            now = back[rows, now]
+            path.append(now)
+        edges = np.stack(path[::-1], axis=1)  # words of fewer pieces begin with zeros
+        skip = (edges == 0).sum(axis=1) - 1
+        for k in np.unique(skip):
+            which = np.flatnonzero(skip == k)
+            yield which, at[which, None] + edges[which, k:]
+
+    def _merges(self, text: _Text, at: np.ndarray, size: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        word, rows = np.arange(len(at)), np.arange(len(at))
+        edge = at[:, None] + np.arange(size + 1)
+        i = text.probe(edge[:, :-2], edge[:, 2:]) if size > 1 else np.zeros((len(at), 0), np.int64)
+        score = np.where(i >= 0, self.value[i], -np.inf)
         while len(word):
-            best = score.argmax(axis=1) if score.shape[1] else np.zeros(len(word), np.int64)
-            over = score[rows, best] == -np.inf if score.shape[1] else np.ones(len(word), bool)
+            if not score.shape[1]:
+                yield word, edge
+                return
+            best = score.argmax(axis=1)
+            over = score[rows, best] == -np.inf
             if over.any():
-                for w, e in zip(word[over].tolist(), edge[over, 1:].tolist(), strict=True):
-                    out[w] = e
+                yield word[over], edge[over]
                 word, edge, score, best = word[~over], edge[~over], score[~over], best[~over]
                 rows = np.arange(len(word))
                 if not len(word):
-                    break
+                    return
             keep = np.ones(edge.shape, bool)
             keep[rows, best + 1] = False
             edge = edge[keep].reshape(len(word), -1)
             keep = np.ones(score.shape, bool)
             keep[rows, best] = False
             score = score[keep].reshape(len(word), -1)
-            if score.shape[1]:
-                for k in (best - 1, best):
-                    ok = (k >= 0) & (k < score.shape[1])
-                    v = pair(k)
-                    score[rows[ok], k[ok]] = v[ok]
-        return out
+            for k in (best - 1, best):
+                r = np.flatnonzero((k >= 0) & (k < score.shape[1]))
+                i = text.probe(edge[r, k[r]], edge[r, k[r] + 2])
+                score[r, k[r]] = np.where(i >= 0, self.value[i], -np.inf)
 
     def _alone(self, word: str) -> list[int]:
         """Ends of the pieces of one word, by plain strings: for long words and hash clashes."""
@@ -250,21 +253,19 @@ class Pieces:
             a = b
         return out
 
-    def segment(self, words: list[str]) -> list[list[int]]:
-        out: list[list[int]] = [[]] * len(words)
-        by: dict[int, list[int]] = {}
-        for i, w in enumerate(words):
-            if (k := self.id.get(w)) is not None and not self.unigram and len(w) == 1:
-                out[i] = [k]
-            else:
-                by.setdefault(len(w), []).append(i)
-        for size, which in by.items():
-            for at in range(0, len(which), 50_000):
-                part = which[at : at + 50_000]
-                ends = self._same_length([words[i] for i in part]) if size <= LONG else [self._alone(words[i]) for i in part]
-                for i, e in zip(part, ends, strict=True):
-                    ids = self._ids(words[i], e)
-                    out[i] = self._ids(words[i], self._alone(words[i])) if ids is None else ids
+    def slow(self, text: str) -> list[int]:
+        """The ids of a normalised text, word by word with plain strings."""
+        out: list[int] = []
+        for w in self.words.findall(text):
+            a = 0
+            for b in self._alone(w):
+                if (i := self.id.get(w[a:b])) is not None:
+                    out.append(i)
+                elif self.byte:
+                    out += [self.byte[x] for x in w[a:b].encode()]
+                elif not (out and out[-1] == self.unk):
+                    out.append(self.unk)
+                a = b
         return out
 
     def _normal(self, text: str) -> str:
@@ -273,8 +274,101 @@ class Pieces:
             text = re.sub(" +", " ", text).strip(" ")
         return " " + text if text and self.prefix else text
 
-    def encoder(self) -> _Encoder:
-        return _Encoder(self)
+    def encode(self, texts: list[str | None]) -> pa.ListArray:
+        """Lists of ids. The pieces of a text must spell it; else, on a hash clash, it is taken word by word."""
+        tokens, counts, k = [np.zeros(0, np.int32)], [], 0
+        while k < len(texts):
+            took, part = 0, []
+            while k < len(texts) and (not part or took + len(texts[k] or "") < PIECE):
+                part.append(self._normal(texts[k] or ""))
+                took += len(part[-1])
+                k += 1
+            if self.byte:
+                ids, n = self._chunk(part)
+                if not self._spells(ids, "".join(part).encode()):
+                    each = [self.slow(t) for t in part]
+                    ids, n = np.array([i for x in each for i in x], np.int32), [len(x) for x in each]
+            else:
+                each = [self._words(t) for t in part]
+                ids, n = np.array([i for x in each for i in x], np.int32), [len(x) for x in each]
+            tokens.append(ids)
+            counts += list(n)
+        offsets = np.concatenate(([0], np.cumsum(counts))).astype(np.int32)
+        missing = np.array([t is None for t in texts], bool)
+        return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(tokens)), mask=pa.array(missing) if missing.any() else None)
+
+    def _words(self, text: str) -> list[int]:
+        """As slow(), with the batched segmentation: for models without bytes, in which unknown neighbours become one."""
+        if not text:
+            return []
+        ids, _ = self._chunk([text])
+        out: list[int] = []
+        for i in ids.tolist():
+            if not (i == self.unk and out and out[-1] == self.unk):
+                out.append(i)
+        return out
+
+    def _spells(self, ids: np.ndarray, raw: bytes) -> bool:
+        size, start, flat = self.table
+        n = size[ids]
+        return int(n.sum()) == len(raw) and flat[np.repeat(start[ids] - (np.cumsum(n) - n), n) + np.arange(len(raw))].tobytes() == raw
+
+    def _chunk(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of normalised texts, one after the other, and how many each has."""
+        length = np.fromiter(map(len, texts), np.int64, len(texts))
+        if not length.sum():
+            return np.zeros(0, np.int32), np.zeros(len(texts), np.int64)
+        text = _Text(self, "".join(texts))
+        c, begin = text.code, np.cumsum(length) - length
+        new = c == 32
+        new[1:] &= c[:-1] != 32
+        if self.lines:
+            line = c == 10
+            new |= line
+            new[1:] |= line[:-1]
+        new[begin[length > 0]] = True
+        start = np.flatnonzero(new)
+        end = np.append(start[1:], len(c))
+        _, first, word = np.unique(text.hash(start, end) ^ ((end - start).astype(np.uint64) << np.uint64(40)), return_index=True, return_inverse=True)
+        at, size = start[first], end[first] - start[first]
+        order, counts, flat = [], [], []
+        for n in np.unique(size):
+            which = np.flatnonzero(size == n)
+            if n > LONG:
+                found = ((np.array([i]), (at[i] + np.array([0, *self._alone("".join(map(chr, c[at[i] : at[i] + n].tolist())))]))[None]) for i in which)
+            else:
+                found = ((which[k : k + 50_000][w], e) for k in range(0, len(which), 50_000) for w, e in self._same_length(text, at[which[k : k + 50_000]], int(n)))
+            for w, edge in found:
+                ids = text.probe(edge[:, :-1], edge[:, 1:]).reshape(-1)
+                per = np.full(len(w), edge.shape[1] - 1)
+                if (ids < 0).any():
+                    ids, per = self._unknown(ids, c[edge[:, :-1].reshape(-1)], len(w))
+                order.append(w)
+                counts.append(per)
+                flat.append(ids)
+        n = np.zeros(len(at), np.int64)
+        begins = np.zeros(len(at), np.int64)
+        order_, counts_ = np.concatenate(order), np.concatenate(counts)
+        n[order_], begins[order_] = counts_, np.cumsum(counts_) - counts_
+        m = n[word]
+        ids = np.concatenate(flat).astype(np.int32)[np.repeat(begins[word] - (np.cumsum(m) - m), m) + np.arange(int(m.sum()))]
+        sums = np.concatenate(([0], np.cumsum(m)))
+        edges = np.searchsorted(start, np.append(begin, len(c)))
+        return ids, sums[edges[1:]] - sums[edges[:-1]]
+
+    def _unknown(self, ids: np.ndarray, code: np.ndarray, words: int) -> tuple[np.ndarray, np.ndarray]:
+        """Characters without a piece become bytes, or <unk>: the new ids, and how many each word has."""
+        n, bad = np.ones(len(ids), np.int64), np.flatnonzero(ids < 0)
+        if not self.byte:
+            ids = ids.copy()
+            ids[bad] = self.unk
+            return ids, n.reshape(words, -1).sum(axis=1)
+        spelled = {x: [self.byte[b] for b in chr(x).encode("utf-8", "replace")] for x in set(code[bad].tolist())}
+        each = [spelled[x] for x in code[bad].tolist()]
+        n[bad] = [len(x) for x in each]
+        out = np.repeat(ids, n)
+        out[np.repeat(ids < 0, n)] = [b for x in each for b in x]
+        return out, n.reshape(words, -1).sum(axis=1)
 
     def decode(self, ids: pa.ListArray) -> pa.StringArray:
         """Texts of lists of ids, of int32."""
@@ -298,47 +392,29 @@ class Pieces:
         return pa.array(out, pa.string())
 
 
-class _Encoder:
-    """Encodes batches; keeps distinct words from batch to batch, a bounded number."""
+class _Text:
+    """A text with hashes of all its substrings: sums of (code + 1) * BASE^-place, made comparable by a power."""
 
-    def __init__(self, pieces: Pieces) -> None:
+    def __init__(self, pieces: Pieces, text: str) -> None:
         self.p = pieces
-        self._clear()
-
-    def _clear(self) -> None:
-        self.at: dict[str, int] = {}
-        self.flat, self.size, self.start = np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0, np.int64)
-
-    def _learn(self, words: list[str]) -> None:
-        ids = self.p.segment(words)
-        size = np.fromiter(map(len, ids), np.int64, len(ids))
-        self.start = np.concatenate((self.start, len(self.flat) + np.cumsum(size) - size))
-        self.size = np.concatenate((self.size, size))
-        self.flat = np.concatenate((self.flat, np.fromiter((i for x in ids for i in x), np.int32, int(size.sum()))))
-
-    def encode(self, texts: list[str | None]) -> pa.ListArray:
-        parts, lens, k = [], [], 0
-        while k < len(texts):
-            if len(self.at) > CACHE:
-                self._clear()
-            took, lists = 0, []
-            while k < len(texts) and (not lists or took < PIECE):
-                lists.append(self.p.words.findall(self.p._normal(texts[k] or "")))
-                took += len(texts[k] or "")
-                k += 1
-            new = {w for x in lists for w in x}.difference(self.at)
-            if new:
-                self.at.update(zip(new, range(len(self.at), len(self.at) + len(new)), strict=True))
-                self._learn(list(new))
-            for x in lists:
-                w = np.fromiter(map(self.at.__getitem__, x), np.int64, len(x))
-                n = self.size[w]
-                parts.append(self.flat[np.repeat(self.start[w] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))])
-                lens.append(len(parts[-1]))
-        offsets = np.concatenate(([0], np.cumsum(lens))).astype(np.int32)
-        values = np.concatenate(parts) if parts else np.zeros(0, np.int32)
-        missing = np.array([t is None for t in texts], bool)
-        return pa.ListArray.from_arrays(pa.array(offsets), pa.array(values), mask=pa.array(missing) if missing.any() else None)
+        self.code = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4")
+        up, down = pieces.powers(len(self.code))
+        self.sum = np.zeros(len(self.code) + 1, np.uint64)
+        np.cumsum((self.code.astype(np.uint64) + np.uint64(1)) * down[: len(self.code)], out=self.sum[1:])
+        self.up = up
+
+    def hash(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        return (self.sum[b] - self.sum[a]) * self.up[b - 1] * SPREAD
+
+    def probe(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """The ids of the pieces that the substrings from a to b are, else -1."""
+        p, h = self.p, self.hash(a, b)
+        # a table over the leading bits narrows the binary search to a few steps
+        at = p.lead[(h >> p.shift).astype(np.int64)]
+        for _ in range(p.steps):
+            at = at + (p.hash[np.minimum(at, len(p.hash) - 1)] < h)
+        at = np.minimum(at, len(p.hash) - 1)
+        return np.where((p.hash[at] == h) & (p.hash_size[at] == b - a), p.hash_id[at], -1)
 
 
 def read_model(path: str = MODEL) -> Pieces:
@@ -348,9 +424,8 @@ def read_model(path: str = MODEL) -> Pieces:
 
 def encode(text: Column, model: Pieces) -> Column:
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        encoder = model.encoder()
         for texts in batches:
-            yield encoder.encode(texts.to_pylist())
+            yield model.encode(texts.to_pylist())
 
     return F.arrow_udf(run, "array<int>")(text)
 
@@ -367,10 +442,9 @@ def round_trip(text: Column, model: Pieces) -> Column:
     """struct(ids, exact): whether decoding the ids gives the text back, U+2581 read as a space."""
 
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        encoder = model.encoder()
         for texts in batches:
             whole = texts.to_pylist()
-            ids = encoder.encode(whole)
+            ids = model.encode(whole)
             back = model.decode(ids).to_pylist()
             exact = [None if t is None else t.replace(MARK, " ") == b for t, b in zip(whole, back, strict=True)]
             yield pa.StructArray.from_arrays([ids, pa.array(exact, pa.bool_())], names=["ids", "exact"])

@@ -49,8 +49,13 @@ def fingerprint(text: str | bytes | None, shingle: int = SHINGLE) -> int:
     hashes = np.fromiter((digest(joined[a:b], SEED) for a, b in zip(lo, hi, strict=True)), np.uint64, n)
     set_in = np.zeros(BITS, np.int64)
     for k in range(0, n, 1 << 16):
-        part = hashes[k : k + (1 << 16)].astype("<u8").view(np.uint8).reshape(-1, 8)
-        set_in += np.unpackbits(part, axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+        part = hashes[k : k + (1 << 16)].astype("<u8").view(np.uint8)
+        bits = np.unpackbits(part, bitorder="little")
+        rows = np.zeros((-(-len(bits) // (BITS * 64)), 64 * BITS), np.uint8)  # sums of 64 rows fit a byte
+        rows.reshape(-1)[: len(bits)] = bits
+        for half in (32, 16, 8, 4, 2, 1):
+            rows = rows[:, : half * BITS] + rows[:, half * BITS :]
+        set_in += rows.sum(axis=0, dtype=np.int64)
     return int(np.packbits(2 * set_in > n, bitorder="little").view("<u8")[0])
 
 
