@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import functools
 import re
+from collections.abc import Iterable
 
 import numpy as np
 import xxhash
@@ -152,13 +153,19 @@ def trained() -> tuple[list[str], np.ndarray, np.ndarray, float]:
     return classes, w, b, min(np.geomspace(0.25, 4, 60), key=loss)
 
 
+def _constant(values: Iterable, kind: str, mark: str = ",") -> Column:
+    """An array that the optimizer folds to one literal: thousands of numbers cost the plan one node."""
+    return F.split(F.lit(mark.join(map(str, values))), mark).cast(f"array<{kind}>")
+
+
 def classified(paragraph: Column) -> Column:
     """struct(family, probability, confirmed) of a paragraph; family is null for the unknown class."""
     classes, w, b, heat = trained()
     used = np.flatnonzero(np.abs(w).max(axis=0) > 1e-3)
     place = {int(k): i + 1 for i, k in enumerate(used)}
-    slots = F.array(*[F.lit(place.get(k, 0)) for k in range(BUCKETS)])
-    rows = F.array(*[F.array(*[F.lit(float(v)) for v in (w[:, k] if k >= 0 else np.zeros(len(classes)))]) for k in [-1, *used.tolist()]])
+    many = len(classes)
+    slots = _constant((place.get(k, 0) for k in range(BUCKETS)), "int")
+    rows = _constant((repr(float(v)) for k in used for v in w[:, k]), "double")
 
     def word_list(t: Column) -> Column:
         return F.regexp_extract_all(F.translate(t, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"), F.lit(WORD), F.lit(0))
@@ -171,9 +178,9 @@ def classified(paragraph: Column) -> Column:
         hashed = F.array_distinct(F.transform(grams, lambda g: F.pmod(F.xxhash64(g), F.lit(BUCKETS)).cast("int")))
         scale = F.lit(1.0) / F.sqrt(F.greatest(F.lit(1), F.size(hashed)))
         known = F.filter(F.transform(hashed, lambda k: F.get(slots, k)), lambda k: k > 0)
-        zero = F.array(*[F.lit(0.0)] * len(classes))
-        total = F.aggregate(known, zero, lambda s, k: F.zip_with(s, F.get(rows, k), lambda a, c: a + c))
-        scores = F.zip_with(total, F.array(*[F.lit(float(v)) for v in b]), lambda a, c: (a * scale + c) / float(heat))
+        zero = F.array_repeat(F.lit(0.0), many)
+        total = F.aggregate(known, zero, lambda s, k: F.zip_with(s, F.slice(rows, (k - 1) * many + 1, many), lambda a, c: a + c))
+        scores = F.zip_with(total, _constant((repr(float(v)) for v in b), "double"), lambda a, c: (a * scale + c) / float(heat))
         return F.struct(scores.alias("z"), F.array_max(scores).alias("top"), ws.alias("ws"))
 
     def verdict(s: Column) -> Column:
@@ -185,7 +192,7 @@ def classified(paragraph: Column) -> Column:
         known = F.lit(None).cast("array<string>")
         for c in classes[1:]:
             all_ = sorted({" ".join(x[i : i + SHINGLE]) for t in TEMPLATES[c] for x in [_words(t)] for i in range(max(1, len(x) - SHINGLE + 1))})
-            known = F.when(name == c, F.array(*[F.lit(x) for x in all_])).otherwise(known)
+            known = F.when(name == c, _constant(all_, "string", "\n")).otherwise(known)
         like = F.size(F.filter(shingles, lambda x: F.array_contains(known, x))) / F.size(shingles)
         return F.struct(name.alias("family"), (F.lit(1.0) / mass).alias("probability"), F.coalesce(like >= SIMILAR, F.lit(False)).alias("confirmed"))
 

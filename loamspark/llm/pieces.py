@@ -13,11 +13,12 @@ with them; if a hash clash shows, they are segmented by plain strings.
 
 Defined cases: null gives null; the empty text has no ids; a literal U+2581 reads back as a space, as in the
 library; characters without a piece become bytes, or <unk>; ids outside the vocabulary decode to
-nothing; bytes that are no UTF-8 decode to U+FFFD.
+nothing; bytes that are no UTF-8 decode to U+FFFD each.
 """
 
 from __future__ import annotations
 
+import codecs
 import heapq
 import re
 import struct
@@ -42,6 +43,8 @@ LONG = 48
 PIECE = 4_000_000
 NORMAL, UNKNOWN, BYTE = 1, 2, 6
 
+codecs.register_error("each-byte", lambda e: ("\ufffd", e.start + 1))
+
 
 def _fields(raw: bytes) -> Iterator[tuple[int, int | bytes]]:
     """Of a protocol buffer message: field numbers and values."""
@@ -388,7 +391,7 @@ class Pieces:
             raw = flat[np.repeat(start[t] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))].tobytes()
             if self.prefix and len(t) and t[0] < len(self.spell) and self.kind[t[0]] == NORMAL and raw[:1] == b" ":
                 raw = raw[1:]
-            out.append(raw.decode("utf-8", "replace"))
+            out.append(raw.decode("utf-8", "each-byte"))
         return pa.array(out, pa.string())
 
 
