@@ -9,8 +9,9 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: A word is made of letters, apostrophes, hyphens and what is not ASCII; digits are no part of it.
 WORD = r"[a-z'\-\x{80}-\x{10FFFF}]+"
 PURE = r"[a-z\x{80}-\x{10FFFF}]+"
-#: Letters and digits make the tokens of the second kind; a point may follow a digit.
-TOKEN = r"(?:[a-z\x{80}-\x{10FFFF}]|[0-9]\.?)+"
+#: Letters and digits make the tokens of the second kind; a point may follow a digit, and is set as \x01 before they are taken.
+#: (One class and no repeated group: the JVM's regular expressions recurse over repeated groups.)
+TOKEN = r"[a-z0-9\x{1}\x{80}-\x{10FFFF}]+"
 NUMBER = r"[0-9]+"
 TAG = r"(?s)<!--.*?-->|<!\[CDATA\[.*?\]\]>|</?[A-Za-z][^>]*>"
 #: Abbreviations by language.
@@ -29,13 +30,17 @@ def words(text: Column) -> Column:
     return extract(fold(text), WORD)
 
 
+def _pointed(text: Column) -> Column:
+    return F.regexp_replace(fold(text), r"([0-9])\.", "$1\x01")
+
+
 def tokens(text: Column) -> Column:
-    return extract(fold(text), TOKEN)
+    return F.transform(extract(_pointed(text), TOKEN), lambda t: F.translate(t, "\x01", "."))
 
 
 def keywords(text: Column) -> Column:
     """Tokens right before : or =."""
-    return extract(fold(text), rf"({TOKEN})[:=]", 1)
+    return F.transform(extract(_pointed(text), rf"({TOKEN})[:=]", 1), lambda t: F.translate(t, "\x01", "."))
 
 
 def topics(text: Column) -> Column:
@@ -45,7 +50,7 @@ def topics(text: Column) -> Column:
 
 def expressions(text: Column) -> Column:
     """Runs of pure words with nothing but white space between them."""
-    return extract(fold(text), rf"{PURE}(?:[ \t\r\n]+{PURE})*")
+    return F.filter(extract(fold(text), r"[a-z \t\r\n\x{80}-\x{10FFFF}]+"), lambda e: e.rlike(r"[^ \t\r\n]"))
 
 
 def pairs(items: Column) -> Column:
