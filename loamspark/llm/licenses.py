@@ -93,8 +93,8 @@ PROSE = (
 #: Words one of which any paragraph of a family holds.
 CUE = r"(?i)licen[cs]e|spdx|copyright|permission|redistribution|gnu|proprietary|rights reserved|creative commons"
 BUCKETS, EPOCHS, RATE, DECAY, CERTAIN, SIMILAR, SHINGLE = 4096, 300, 0.5, 1e-4, 0.6, 0.8, 5
-_WORD = re.compile(r"[0-9a-z]+(?:[.\-][0-9a-z]+)*")
-WORD = r"[0-9a-z]+(?:[.\-][0-9a-z]+)*"
+WORD = r"[0-9a-z]+"  # without a repeated group, over which the JVM's regular expressions would recurse
+_WORD = re.compile(WORD)
 
 
 def _words(text: str) -> list[str]:
