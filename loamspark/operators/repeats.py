@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -13,14 +14,14 @@ from ..functions import text as T
 
 
 def k_grams(text: Column, k: int, stride: int = 1) -> Column:
-    """The k characters that begin at each place, every stride-th of them."""
-    c = T.chars(text)
-    n = F.size(c) - (k - 1) * stride
-    if stride == 1:
-        one = lambda i: F.array_join(F.slice(c, i, k), "")
-    else:
-        one = lambda i: F.concat(*[F.get(c, i - 1 + j * stride) for j in range(k)])
-    return F.when(n > 0, F.transform(F.sequence(F.lit(1), n), one)).otherwise(F.array().cast("array<string>"))
+    """The k characters, every stride-th, that begin at each place."""
+    span = (k - 1) * stride
+
+    def of(c: Column) -> Column:
+        one = (lambda i: F.array_join(F.slice(c, i, k), "")) if stride == 1 else (lambda i: F.concat(*[F.get(c, i - 1 + j * stride) for j in range(k)]))
+        return F.when(F.size(c) > span, F.transform(F.sequence(F.lit(1), F.size(c) - span), one)).otherwise(F.array().cast("array<string>"))
+
+    return T.bound(T.chars(text), of)
 
 
 def last_matches(docs: DataFrame, grams: Column, id_col: str = "doc_id", keep: tuple[str, ...] = ()) -> DataFrame:
@@ -50,7 +51,7 @@ def lag_similarity(text: Column, most: int) -> Column:
                 row = []
                 for d in range(1, most + 1):
                     a = np.abs(x[d:] - x[:-d])
-                    row.append(round(float(np.minimum(a, 256 - a).sum(dtype=np.int64)) / len(a), 6) if len(a) else None)
+                    row.append(math.floor(int(np.minimum(a, 256 - a).sum(dtype=np.int64)) / len(a) * 1e6 + 0.5) / 1e6 if len(a) else None)
                 out.append(row)
             yield pa.array(out, pa.list_(pa.float64()))
 
