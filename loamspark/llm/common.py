@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 #: Rows of a few narrow columns that may be broadcast (about 16 MB); more are joined by a shuffle.
 BROADCAST_ROWS = 500_000
 #: Bytes of one Arrow batch that goes to a Python worker.
-BATCH_BYTES = 24 << 20
+BATCH_BYTES = 8 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

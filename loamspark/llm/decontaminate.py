@@ -28,7 +28,7 @@ from .common import bounded_batches, table
 WINDOW, ITEMS = 8, 2
 BLOCK_BYTES = 16 << 20
 #: Shards end at the first document beyond so many words.
-SHARD_WORDS = 2_000_000
+SHARD_WORDS = 500_000
 FOUND = "struct<n_words:bigint,matches:array<struct<item:string,doc_word:bigint,item_word:bigint,words:bigint>>>"
 
 _KEPT = bytes(c if 48 <= c < 58 or 97 <= c < 123 or c >= 128 else c + 32 if 65 <= c < 91 else 32 for c in range(256))

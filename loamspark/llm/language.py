@@ -28,7 +28,7 @@ TRAIN_DOCS = 4_000
 BUCKETS, SMOOTH, FLOOR = 1 << 16, 0.3, 1e-3
 ROUNDS, PENALTY = 8, 2.0
 #: Floats that one piece of text may need at once.
-PIECE = 16_000_000
+PIECE = 4_000_000
 FOUND = "struct<lang:string,score:double,langs:array<string>,shares:array<double>>"
 
 _LETTER = re.compile(r"[^\W\d_]")

@@ -39,8 +39,8 @@ BASE = np.uint64(0x9E3779B97F4A7C15)
 SPREAD = np.uint64(0xD6E8FEB86659FD93)
 #: Words beyond this length are segmented one by one with a heap, in n log n.
 LONG = 48
-#: Characters taken at once; a longer text is taken whole.
-PIECE = 4_000_000
+#: Characters taken at once; a longer text is cut where a word begins, which no piece crosses.
+PIECE = 400_000
 NORMAL, UNKNOWN, BYTE = 1, 2, 6
 
 codecs.register_error("each-byte", lambda e: ("\ufffd", e.start + 1))
@@ -279,27 +279,55 @@ class Pieces:
 
     def encode(self, texts: list[str | None]) -> pa.ListArray:
         """Lists of ids. The pieces of a text must spell it; else, on a hash clash, it is taken word by word."""
-        tokens, counts, k = [np.zeros(0, np.int32)], [], 0
-        while k < len(texts):
-            took, part = 0, []
-            while k < len(texts) and (not part or took + len(texts[k] or "") < PIECE):
-                part.append(self._normal(texts[k] or ""))
-                took += len(part[-1])
-                k += 1
-            if self.byte:
-                ids, n = self._chunk(part)
-                if not self._spells(ids, "".join(part).encode()):
-                    each = [self.slow(t) for t in part]
-                    ids, n = np.array([i for x in each for i in x], np.int32), [len(x) for x in each]
-            else:
-                each = [self._words(t) for t in part]
-                ids, n = np.array([i for x in each for i in x], np.int32), [len(x) for x in each]
+        tokens, counts = [np.zeros(0, np.int32)], np.zeros(len(texts), np.int64)
+        part: list[str] = []
+        owner: list[int] = []
+        took = 0
+
+        def flush() -> None:
+            ids, n = self._chunk(part)
+            if not self._spells(ids, "".join(part).encode()):
+                each = [self.slow(t) for t in part]
+                ids, n = np.array([i for x in each for i in x], np.int32), np.array([len(x) for x in each], np.int64)
             tokens.append(ids)
-            counts += list(n)
+            np.add.at(counts, owner, n)
+
+        for k, t in enumerate(texts):
+            if not self.byte:
+                ids = self._words(self._normal(t or ""))
+                tokens.append(np.array(ids, np.int32))
+                counts[k] = len(ids)
+                continue
+            for stretch in self._stretches(self._normal(t or "")):
+                if part and took + len(stretch) > PIECE:
+                    flush()
+                    part, owner, took = [], [], 0
+                part.append(stretch)
+                owner.append(k)
+                took += len(stretch)
+        if part:
+            flush()
         offsets = np.concatenate(([0], np.cumsum(counts))).astype(np.int32)
         missing = np.array([t is None for t in texts], bool)
         return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(tokens)), mask=pa.array(missing) if missing.any() else None)
 
+    @staticmethod
+    def _stretches(text: str) -> Iterator[str]:
+        """A normalised text in stretches of about PIECE characters that begin with a word."""
+        at = 0
+        while len(text) - at > PIECE:
+            cut = text.find(" ", at + PIECE)
+            if cut < 0:
+                break
+            while text[cut - 1] == " " and cut > at + 1:
+                cut -= 1
+            if text[cut - 1] == " ":
+                break
+            yield text[at:cut]
+            at = cut
+        if at < len(text):
+            yield text[at:]
+
     def _words(self, text: str) -> list[int]:
         """As slow(), with the batched segmentation: for models without bytes, in which unknown neighbours become one."""
         if not text:

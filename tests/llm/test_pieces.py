@@ -21,6 +21,13 @@ def test_equals_the_library(spark, model):
     assert model.decode(pa.array(ids, pa.list_(pa.int32()))).to_pylist() == library.decode(ids)
 
 
+def test_long_texts_are_cut_where_words_begin(model, monkeypatch):
+    monkeypatch.setattr(pieces, "PIECE", 50)
+    library = sentencepiece.SentencePieceProcessor(model_file=pieces.MODEL)
+    texts = ["  a  lot   of    spaces " * 30, "x" * 300, "one\ntwo three " * 40, " " * 200, "", "word " * 100 + " " * 90 + "end"]
+    assert model.encode(texts).to_pylist() == library.encode(texts)
+
+
 def test_query(spark, model):
     library = sentencepiece.SentencePieceProcessor(model_file=pieces.MODEL)
     out = pieces.op8_sentencepiece(spark, SMALL).collect()
