@@ -6,7 +6,7 @@ varying slots; the deepest node that holds SHARE of the varying text is the host
 Every page is then read with its host's wrapper: the marked-up article where a page has one (<article>, <main>,
 role=main), whole, else the wrapper's container without its template nodes, else the body. Elements that are
 by tag, role or class menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles or
-comments go first: two pages of a host may show different adverts, so alignment alone would keep these, and copies of an
+comments go first (by class or id only if the whole name says so, and never with all marked-up articles or most of the page's text): two pages of a host may show different adverts, so alignment alone would keep these, and copies of an
 article would look like a template, so alignment alone would drop them.
 
 Defined cases: null html is empty and has an empty text; unclosed and misnested elements are closed as browsers
@@ -48,11 +48,19 @@ GONE_ROLES = frozenset("navigation banner contentinfo complementary search form
 GONE_WORDS = frozenset(
     "ad ads adv advert adverts advertisement advertisements advertising adsense sponsor sponsored promo promotion cookie cookies consent gdpr notice notices popup modal overlay newsletter subscribe subscription signup login sidebar sidebars widget widgets menu navbar nav navigation breadcrumb breadcrumbs pagination pager footer masthead comment comments commentlist disqus reply replies respond share sharing social related recommended recommendations skip toolbar captcha".split()
 )
+#: What a name of GONE_WORDS may hold besides: boxes, places and numbers, but no word of its own.
+BOX_WORDS = frozenset("area aside banner bar block box btn button buttons col column container form group holder icons inner item items left link links list outer panel primary right secondary section slot space title top unit wrap wrapper bottom".split())
 GONE_NAMES = frozenset("header site-header page-header banner top-bar topbar alert".split())
 
 
+def gone_name(name: str) -> bool:
+    """Whether a class or id as a whole names boilerplate: not has-sidebar, nav-open or related-work."""
+    parts = [x for x in re.split(r"[^a-z0-9]+|(?<=[a-z])(?=[0-9])", name) if x and not x.isdigit()]
+    return name in GONE_NAMES or (not GONE_WORDS.isdisjoint(parts) and all(x in GONE_WORDS or x in BOX_WORDS for x in parts))
+
+
 class Node:
-    __slots__ = ("tag", "sig", "gone", "kids", "marked")
+    __slots__ = ("tag", "sig", "gone", "named", "kids", "marked")
 
     def __init__(self, tag: str, attrs: dict[str, str]) -> None:
         names = f"{attrs.get('class', '')} {attrs.get('id', '')}".lower().split()
@@ -65,8 +73,8 @@ class Node:
             or "hidden" in attrs
             or attrs.get("aria-hidden", "").lower() == "true"
             or "display:none" in attrs.get("style", "").lower().replace(" ", "")
-            or (tag not in ("html", "body", "article", "main") and any(n in GONE_NAMES or not GONE_WORDS.isdisjoint(re.split(r"[^a-z0-9]+|(?<=[a-z])(?=[0-9])", n)) for n in names))
         )
+        self.named = tag not in ("html", "body", "article", "main") and any(map(gone_name, names))
         self.marked = tag in ("article", "main") or role in ("main", "article") or attrs.get("itemprop", "").lower() == "articlebody"
 
     def own(self) -> str:
@@ -127,7 +135,20 @@ def parse(page: str) -> Node:
 
 
 def _shrunk(root: Node) -> tuple[int, int]:
-    """Takes out what is gone; how many nodes stay, and how deep."""
+    """Takes out what is gone, and what is named so unless it holds all marked nodes or most of the text; how many nodes stay, and how deep."""
+    order, todo = [], [(root, -1)]
+    while todo:
+        x, up = todo.pop()
+        x.kids = [k for k in x.kids if isinstance(k, str) or not k.gone]
+        todo += [(k, len(order)) for k in x.kids if isinstance(k, Node)]
+        order.append((x, up))
+    if any(x.named for x, _ in order):
+        marks, texts = [int(x.marked) for x, _ in order], [len(x.own()) for x, _ in order]
+        for k in range(len(order) - 1, 0, -1):
+            marks[order[k][1]] += marks[k]
+            texts[order[k][1]] += texts[k]
+        for k, (x, _) in enumerate(order):
+            x.gone = x.named and not (0 < marks[0] == marks[k] or 2 * texts[k] > texts[0])
     n, deep, todo = 0, 0, [(root, 1)]
     while todo:
         x, level = todo.pop()

@@ -47,3 +47,11 @@ def test_whole_table(spark):
 
 def test_empty(spark):
     assert html_text.extracted(spark.createDataFrame([], "page_id long, url string, html string")).collect() == []
+
+
+def test_layout_names_keep_the_article():
+    for name in ("content-sidebar-wrap", "has-sidebar", "no-comments", "nav-open", "sidebar", "widget-area"):
+        assert html_text.extract(f'<body><div class="{name}"><article><p>The story.</p></article></div></body>') == "The story."
+    page = '<article><p class="related-work">Others did so.</p><section id="social-policy"><p>Policy.</p></section><div class="share-buttons">x</div></article><div id="comments"><article>first!</article></div>'
+    assert html_text.extract(page) == "Others did so.\nPolicy."
+    assert html_text.extract(f'<body><p>Title</p><div id="widget">{"long text " * 30}</div><div class="ad-slot">buy</div></body>') == "Title\n" + ("long text " * 30).strip()
