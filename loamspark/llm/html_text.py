@@ -290,15 +290,16 @@ def extract(page: str | None, wrapper: str | None = None) -> str:
             flush()
         elif isinstance(x, str):
             line.append(x)
-        elif not marked and template and (own := x.own()) and _digest(path, own) in template:
-            continue
         else:
+            fixed = not marked and template and (own := x.own()) and _digest(path, own) in template
             if x.tag == "br":
                 line.append(" ")
             if x.tag in BLOCK:
                 flush()
                 steps.append((None, ""))
-            steps += [(k, _down(path, k) if isinstance(k, Node) and template and not marked else "") for k in reversed(x.kids)]
+            # of a template node its own text goes, the slots inside stay
+            kids = [" " if fixed and isinstance(k, str) else k for k in reversed(x.kids)]
+            steps += [(k, _down(path, k) if isinstance(k, Node) and template and not marked else "") for k in kids]
     flush()
     return "\n".join(blocks)
 

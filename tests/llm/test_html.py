@@ -55,3 +55,9 @@ def test_layout_names_keep_the_article():
     page = '<article><p class="related-work">Others did so.</p><section id="social-policy"><p>Policy.</p></section><div class="share-buttons">x</div></article><div id="comments"><article>first!</article></div>'
     assert html_text.extract(page) == "Others did so.\nPolicy."
     assert html_text.extract(f'<body><p>Title</p><div id="widget">{"long text " * 30}</div><div class="ad-slot">buy</div></body>') == "Title\n" + ("long text " * 30).strip()
+
+
+def test_slots_inside_constant_text():
+    page = lambda k: f"<body><div class=top>My Site</div><div class=story>Story: <p>It was day {k} of the long journey.</p><p>By <b>name{k}</b></p></div></body>"
+    wrapper = html_text.induce([page(k) for k in range(6)])
+    assert html_text.extract(page(3), wrapper) == "It was day 3 of the long journey.\nname3"
