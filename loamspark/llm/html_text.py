@@ -1,8 +1,8 @@
 """HTML extraction: wrapper induction.
 
-Of every host up to SAMPLE pages (the first by a hash in each of as many buckets, whatever the host's size) are parsed, and their DOM trees are
-aligned with the first by simple tree matching. Nodes with one text on all of them are template, others are
-varying slots; the deepest node that holds SHARE of the varying text is the host's container, and (container, template) its wrapper.
+Of every host up to SAMPLE pages (the first by a hash in each of as many buckets, whatever the host's size) are parsed, and their DOM trees, of any size and depth, are
+aligned by their paths of kinds. Nodes with one path and text on two thirds of them, and two at least, are template, others are
+varying slots; the deepest path that holds SHARE of the varying text is the host's container, and (container, template) its wrapper.
 Every page is then read with its host's wrapper: the marked-up article where a page has one (<article>, <main>,
 role=main), whole, else the wrapper's container without its template nodes, else the body. Elements that are
 by tag, role or class menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles or
@@ -21,6 +21,7 @@ import functools
 import html
 import json
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pandas as pd
@@ -31,8 +32,8 @@ from pyspark.sql import functions as F
 
 from .common import bounded_batches, sized, stored, table
 
-#: Pages of a host that are aligned, nodes and depth of one that is, and pairs of children above which these are matched in one pass.
-SAMPLE, NODES, DEEP, PAIRS, SHARE = 8, 5_000, 200, 40_000, 0.85
+#: Pages of a host that are aligned, and the part of their varying text that the container holds.
+SAMPLE, SHARE = 8, 0.85
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>", re.S)
 _ATTR = re.compile(r"""([^\s=/"'>]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""")
@@ -134,8 +135,8 @@ def parse(page: str) -> Node:
     return root
 
 
-def _shrunk(root: Node) -> tuple[int, int]:
-    """Takes out what is gone, and what is named so unless it holds all marked nodes or most of the text; how many nodes stay, and how deep."""
+def _shrunk(root: Node) -> None:
+    """Takes out what is gone, and what is named so unless it holds all marked nodes or most of the text."""
     order, todo = [], [(root, -1)]
     while todo:
         x, up = todo.pop()
@@ -149,13 +150,8 @@ def _shrunk(root: Node) -> tuple[int, int]:
             texts[order[k][1]] += texts[k]
         for k, (x, _) in enumerate(order):
             x.gone = x.named and not (0 < marks[0] == marks[k] or 2 * texts[k] > texts[0])
-    n, deep, todo = 0, 0, [(root, 1)]
-    while todo:
-        x, level = todo.pop()
-        x.kids = [k for k in x.kids if isinstance(k, str) or not k.gone]
-        todo += [(k, level + 1) for k in x.kids if isinstance(k, Node)]
-        n, deep = n + 1, max(deep, level)
-    return n, deep
+        for x, _ in order:
+            x.kids = [k for k in x.kids if isinstance(k, str) or not k.gone]
 
 
 def _down(path: str, node: Node) -> str:
@@ -163,88 +159,47 @@ def _down(path: str, node: Node) -> str:
     return xxhash.xxh64_hexdigest(f"{path}/{node.sig}".encode("utf-8", "surrogatepass"))
 
 
-def _matched(a: Node, b: Node) -> list[tuple[Node, Node]]:
-    """Simple tree matching: pairs of the largest order-keeping match below two roots of one kind."""
-    memo: dict[tuple[int, int], tuple[int, list]] = {}
-
-    def score(x: Node, y: Node) -> int:
-        if x.sig != y.sig:
-            return 0
-        key = (id(x), id(y))
-        if key in memo:
-            return memo[key][0]
-        p = [k for k in x.kids if isinstance(k, Node)]
-        q = [k for k in y.kids if isinstance(k, Node)]
-        pairs: list[tuple[Node, Node]] = []
-        total = 0
-        if len(p) * len(q) > PAIRS:  # in one pass, each with the next of its kind
-            j = 0
-            for i in p:
-                k = next((k for k in range(j, len(q)) if q[k].sig == i.sig), None) if j < len(q) and q[j].sig != i.sig else j
-                if k is not None and k < len(q):
-                    total += score(i, q[k])
-                    pairs.append((i, q[k]))
-                    j = k + 1
-        else:
-            m = [[0] * (len(q) + 1) for _ in range(len(p) + 1)]
-            w = [[score(i, j) for j in q] for i in p]
-            for i in range(len(p)):
-                for j in range(len(q)):
-                    m[i + 1][j + 1] = max(m[i][j + 1], m[i + 1][j], m[i][j] + w[i][j])
-            i, j, total = len(p), len(q), m[-1][-1]
-            while i and j:
-                if w[i - 1][j - 1] and m[i][j] == m[i - 1][j - 1] + w[i - 1][j - 1]:
-                    pairs.append((p[i - 1], q[j - 1]))
-                    i, j = i - 1, j - 1
-                elif m[i][j] == m[i - 1][j]:
-                    i -= 1
-                else:
-                    j -= 1
-        memo[key] = (total + 1, pairs)
-        return total + 1
-
-    if not score(a, b):
-        return []
-    out, todo = [], [(a, b)]
-    while todo:
-        x, y = todo.pop()
-        out.append((x, y))
-        todo += memo[(id(x), id(y))][1]
-    return out
-
-
 def _digest(path: str, text: str) -> str:
     return xxhash.xxh64_hexdigest(f"{path}\n{text}".encode("utf-8", "surrogatepass"))
 
 
+def _walk(page: str) -> list[tuple[str, int, str, int, str]]:
+    """A page's nodes, parents first: path, the parent's place, tag, length of the own text and its digest ("" without one)."""
+    root = parse(page)
+    _shrunk(root)
+    out, todo = [], [(root, "", -1)]
+    while todo:
+        x, path, up = todo.pop()
+        own = x.own()
+        todo += [(k, _down(path, k), len(out)) for k in reversed(x.kids) if isinstance(k, Node)]
+        out.append((path, up, x.tag, len(own), _digest(path, own) if own else ""))
+    return out
+
+
 def induce(pages: list[str]) -> str | None:
     """The wrapper of pages of one host, as JSON: container (the digest of a path of kinds) and template (digests of path and text)."""
-    trees = [t for t in map(parse, pages) if (size := _shrunk(t))[0] <= NODES and size[1] <= DEEP]
-    if len(trees) < 2:
+    walks = [w for w in map(_walk, pages) if any(n for *_, n, _ in w)]
+    if len(walks) < 2:
         return None
-    first = trees[0]
-    alike: dict[int, int] = {}
-    for other in trees[1:]:
-        for x, y in _matched(first, other):
-            if x.own() == y.own():
-                alike[id(x)] = alike.get(id(x), 0) + 1
-    template, best = set(), (first, "")
-
-    def mass(x: Node, path: str) -> int:
-        text = x.own()
-        fixed = alike.get(id(x), 0) == len(trees) - 1
-        if fixed and text:
-            template.add(_digest(path, text))
-        return (0 if fixed else len(text)) + sum(mass(k, _down(path, k)) for k in x.kids if isinstance(k, Node))
-
-    whole = mass(first, "")
-    x, path = best
+    held = Counter(d for w in walks for d in {d for *_, d in w if d})
+    template = {d for d, n in held.items() if n >= 2 and 3 * n >= 2 * len(walks)}
+    mass: Counter[str] = Counter()
+    below: dict[str, dict[str, str]] = {}
+    for w in walks:
+        sums = [0 if d in template else n for *_, n, d in w]
+        for k in range(len(w) - 1, -1, -1):
+            path, up, tag, _, _ = w[k]
+            mass[path] += sums[k]
+            if up >= 0:
+                sums[up] += sums[k]
+                below.setdefault(w[up][0], {})[path] = tag
+    path = ""
     while True:
-        kids = [(mass(k, _down(path, k)), k) for k in x.kids if isinstance(k, Node) and k.tag in BLOCK]
-        top = max(kids, key=lambda k: k[0], default=(0, None))
-        if not top[1] or top[0] < SHARE * whole or not whole or top[1].tag in ("p", "li", "td"):
+        kids = {k: tag for k, tag in below.get(path, {}).items() if tag in BLOCK}
+        top = max(kids, key=lambda k: (mass[k], k), default=None)
+        if top is None or not mass[""] or mass[top] < SHARE * mass[""] or kids[top] in ("p", "li", "td"):
             break
-        x, path = top[1], _down(path, top[1])
+        path = top
     return json.dumps({"container": path, "template": sorted(template)})
 
 

@@ -61,3 +61,17 @@ def test_slots_inside_constant_text():
     page = lambda k: f"<body><div class=top>My Site</div><div class=story>Story: <p>It was day {k} of the long journey.</p><p>By <b>name{k}</b></p></div></body>"
     wrapper = html_text.induce([page(k) for k in range(6)])
     assert html_text.extract(page(3), wrapper) == "It was day 3 of the long journey.\nname3"
+
+
+def test_large_deep_and_odd_pages():
+    """Neither size nor depth nor one page of another layout costs a host its template."""
+    story = lambda k: f"<div class=s><p>Story {k} goes on {k * 7} times.</p></div>"
+    links = "".join(f"<div>link {j}</div>" for j in range(6000))
+    wide = lambda k: f"<body><div class=x>{links}</div>{story(k)}</body>"
+    deep = lambda k: f"<body><div class=x>{'<div>' * 2000}Imprint{'</div>' * 2000}</div>{story(k)}</body>"
+    plain = lambda k: f"<body><div class=x>Imprint</div>{story(k)}</body>"
+    for page in (wide, deep, plain):
+        pages = [page(k) for k in range(4)]
+        if page is plain:
+            pages[0] = "<body><table><tr><td>another layout</td></tr></table></body>"
+        assert html_text.extract(page(3), html_text.induce(pages)) == "Story 3 goes on 21 times."
