@@ -6,8 +6,9 @@ temperature is fitted on held-out variants, and what stays below CERTAIN is `unk
 the paragraph's five-word shingles (of shorter paragraphs: the whole) are in the family's templates.
 Scoring is by Spark expressions: weights are a constant array, indexed by the grams' hashes.
 
-Only grams that training has seen have weights, and without any the bias makes a paragraph `unknown`; so paragraphs
-without a licence word (CUE) are passed over, which is part of the model: training holds it too.
+Only grams that training has seen have weights, and without any the bias makes a paragraph `unknown`. Paragraphs are passed
+over that hold no cue: no word of any notice but those of COMMON, which alone name no licence. The cues are taken from the
+notices, so a new notice brings its own.
 
 Defined cases: null and empty texts have no paragraphs and no family; a document of several families has
 `families` sorted and `family` that of most confirmed paragraphs, then the most probable, then the first by name; repeated rows each
@@ -46,6 +47,7 @@ TEMPLATES: dict[str, tuple[str, ...]] = {
         "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or any later version.",
         "SPDX-License-Identifier: GPL-3.0-or-later",
         "Licensed under the GNU General Public License v2.0.",
+        "Released under the GPL v3.",
     ),
     "CC-BY-NC": (
         "Licensed under CC BY-NC 4.0.",
@@ -90,8 +92,8 @@ PROSE = (
     "le la de et les un une que pour dans est sur",
     "el la de que y en los del las por con para",
 )
-#: Words one of which any paragraph of a family holds.
-CUE = r"(?i)licen[cs]e|spdx|copyright|permission|redistribution|gnu|proprietary|rights reserved|creative commons"
+#: Words of the notices that name no licence, alone or together; all others are cues.
+COMMON = frozenset("0 2 3 4 a all and any are as be been by can either for has have in is it later made may met no not of on or other part person prior that the this to under use with you".split())
 BUCKETS, EPOCHS, RATE, DECAY, CERTAIN, SIMILAR, SHINGLE = 4096, 300, 0.5, 1e-4, 0.6, 0.8, 5
 WORD = r"[0-9a-z]+"  # without a repeated group, over which the JVM's regular expressions would recurse
 _WORD = re.compile(WORD)
@@ -101,6 +103,16 @@ def _words(text: str) -> list[str]:
     return _WORD.findall(text.translate({c: c + 32 for c in range(65, 91)}))
 
 
+@functools.cache
+def cue() -> str:
+    """A regular expression that finds a cue in a line: other spellings of licence words as substrings, the notices' words as words."""
+    heads: dict[str, list[str]] = {}
+    for x in sorted({x for group in TEMPLATES.values() for t in group for x in _words(t)} - COMMON):
+        heads.setdefault(x[0], []).append(x[1:])
+    words = "|".join(f"{h}(?:{'|'.join(rest)})" for h, rest in heads.items())
+    return rf"(?i)licen[cs]e|spdx|copyright|permission|redistribution|gnu|proprietary|rights reserved|creative commons|(?<![0-9a-z])(?:{words})(?![0-9a-z])"
+
+
 def _grams(w: list[str]) -> list[str]:
     return [" ".join(w[i : i + n]) for n in (1, 2, 3) for i in range(len(w) - n + 1)]
 
@@ -208,11 +220,11 @@ def licenses(docs: DataFrame, text_col: str = "text") -> DataFrame:
     text = F.coalesce(F.col(text_col), F.lit(""))
     lines = F.filter(F.split(text, "\n", -1), lambda x: F.trim(x) != "")
     rows = docs.withColumn("__lines", lines)
-    cued = F.filter(F.transform("__lines", lambda x, i: F.struct(i.alias("paragraph"), x.alias("t"))), lambda s: s["t"].rlike(CUE))
+    cued = F.filter(F.transform("__lines", lambda x, i: F.struct(i.alias("paragraph"), x.alias("t"))), lambda s: s["t"].rlike(cue()))
     found = F.transform(cued, lambda s: F.struct(s["paragraph"].alias("paragraph"), classified(s["t"]).alias("c")))
     hits = F.transform(F.filter(found, lambda s: s["c"]["family"].isNotNull()), lambda s: F.struct(s["paragraph"].alias("paragraph"), s["c"]["family"].alias("family"), F.round(s["c"]["probability"], 6).alias("probability"), s["c"]["confirmed"].alias("confirmed")))
     none = F.array().cast("array<struct<paragraph:int,family:string,probability:double,confirmed:boolean>>")
-    rows = rows.withColumn("__hits", F.when(text.rlike(CUE), hits).otherwise(none))
+    rows = rows.withColumn("__hits", F.when(text.rlike(cue()), hits).otherwise(none))
     families = F.array_sort(F.array_distinct(F.transform("__hits", lambda h: h["family"])))
     per = F.transform(families, lambda f: F.struct((-F.size(F.filter("__hits", lambda h: (h["family"] == f) & h["confirmed"]))).alias("n"), (-F.array_max(F.transform(F.filter("__hits", lambda h: h["family"] == f), lambda h: h["probability"]))).alias("p"), f.alias("f")))
     return rows.select(

@@ -1,3 +1,5 @@
+import re
+
 from loamspark.llm import licenses
 
 SMALL = "/root/testdata/sf0.01"
@@ -42,3 +44,14 @@ def test_awkward_and_empty(spark, awkward, no_docs):
     rows = licenses.licenses(awkward).collect()
     assert len(rows) == awkward.count() and all(r["family"] is None for r in rows)
     assert licenses.licenses(no_docs).collect() == []
+
+
+def test_notices_by_name_alone(spark):
+    """Notices with a licence's name but without the word licence; and the cues leave out no word that could tell a family."""
+    rows = [("GPL", "Released under GPL v3."), ("CC-BY", "Available under CC BY 4.0."), ("CC-BY-NC", "Released under CC BY-NC 4.0."), ("Apache-2.0", "Distributed under Apache 2.0."), ("BSD", "Distributed under BSD 3-Clause terms."), ("proprietary", "Unauthorized copying of this file is strictly prohibited."), (None, "This is it."), (None, "Under the bridge, in the 3 of 4.")]
+    docs = spark.createDataFrame([(k, t) for k, (_, t) in enumerate(rows)], "doc_id long, text string")
+    out = {r["doc_id"]: r["family"] for r in licenses.licenses(docs).collect()}
+    assert out == {k: f for k, (f, _) in enumerate(rows)}
+    find = re.compile(licenses.cue())
+    words = {w for group in licenses.TEMPLATES.values() for t in group for w in licenses._words(t)}
+    assert all(bool(find.search(f"x {w}, y")) != (w in licenses.COMMON) for w in words)
