@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
 import uuid
 
@@ -19,19 +20,52 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; one of our own only where the cluster names none."""
+    """The folder that driver and executors share. One of our own only where the cluster names none and all run on this machine."""
     known = spark.conf.get("spark.checkpoint.dir", "")
     if not known:
+        master = spark.sparkContext.master
+        if not master.startswith("local[") and master != "local":
+            raise RuntimeError(f"spark.checkpoint.dir must name a folder that all executors of {master} share")
         known = f"file://{tempfile.mkdtemp(prefix='shared-')}"
         spark.conf.set("spark.checkpoint.dir", known)
     return known
 
 
+#: Tables that results may still read; they go when Python ends.
+_OPEN: dict[str, SparkSession] = {}
+
+
+def _delete(path: str) -> None:
+    spark = _OPEN.pop(path, None)
+    if spark is not None:
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(at, True)
+
+
+@atexit.register
+def _delete_all() -> None:
+    for path in list(_OPEN):
+        try:
+            _delete(path)
+        except Exception:  # the JVM has ended before us
+            return
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """df, computed once and reread from the shared folder: cuts the lineage and outlives any executor."""
-    path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    _OPEN[path] = spark
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.stored_at = path
+    return out
+
+
+def forget(*tables: DataFrame) -> None:
+    """Deletes stored tables that nothing reads any more."""
+    for t in tables:
+        _delete(getattr(t, "stored_at", ""))
 
 
 def bounded_batches(spark: SparkSession) -> None:
@@ -52,10 +86,16 @@ def sized(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
 
 
 def run_id(runs: int = 256) -> Column:
-    """A salt: the reading partition, so that rows of one task with one key still combine."""
+    """A salt: the reading partition, so that rows of one task with one key still combine. To be stored or aggregated at once."""
     return (F.spark_partition_id() % runs).cast("int")
 
 
+def row_salt(df: DataFrame, *without: str, runs: int = 256) -> Column:
+    """A salt that a row gives itself, for rows that are not stored: equal each time they are computed."""
+    plain = [F.col(f"`{f.name}`") for f in df.schema.fields if f.name not in without and not f.dataType.simpleString().startswith(("map", "variant"))]
+    return F.pmod(F.xxhash64(F.lit(0), *plain), F.lit(runs)).cast("int")
+
+
 def attach(rows: DataFrame, groups: DataFrame, keys: list[str], run: str = "run") -> DataFrame:
     """Left join of rows (keys, run, ...) with groups (keys, ...), one row a key, where one key may have any share.
 
@@ -79,7 +119,7 @@ def components(edges: DataFrame) -> DataFrame:
         state = e.agg(F.count("*").alias("n"), F.expr("bit_xor(xxhash64(u, v))").alias("h")).first()
         if state["n"] == 0 or seen == tuple(state):
             return e
-        seen = tuple(state)
+        seen, last = tuple(state), e
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
@@ -87,3 +127,4 @@ def components(edges: DataFrame) -> DataFrame:
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         e = stored(small.unionByName(low.select("u", F.col("m").alias("v"))).distinct(), "small-star")
+        forget(last, large)

@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import attach, bounded_batches, run_id, sized, stored, table
+from .common import attach, bounded_batches, row_salt, sized, stored, table
 
 #: Pages of a host that are aligned; parts of the varying text that a container holds, any and a marked one; pages that make a node template.
 SAMPLE, SHARE, MARKED, VOTES = 8, 0.75, 0.3, 3
@@ -540,7 +540,7 @@ def extracted(pages: DataFrame, url_col: str = "url", html_col: str = "html") ->
     if total <= WRAPPER_BYTES:
         rows = rows.join(F.broadcast(learned), "__host", "left")
     else:
-        rows = attach(rows.withColumn("__run", run_id()), learned, ["__host"], "__run")
+        rows = attach(rows.withColumn("__run", row_salt(pages, html_col)), learned, ["__host"], "__run")
     rows = rows.withColumn("__text", F.arrow_udf(run, "string")(F.col(html_col), F.col("__wrapper")))
     new = ("text", "n_chars", html_col)
     return rows.select(*[F.col(f"`{c}`") for c in pages.columns if c not in new], F.col("__text").alias("text"), F.length("__text").cast("long").alias("n_chars"))
