@@ -5,6 +5,7 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -106,6 +107,30 @@ def attach(rows: DataFrame, groups: DataFrame, keys: list[str], run: str = "run"
     return rows.join(copies, [*keys, run], "left")
 
 
+def bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), with value computed once a row."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+CHUNK, LEVELS = 64, 2
+
+
+def running(values: str, level: int = LEVELS) -> str:
+    """SQL: of an array of ints the sums of what came before each, within chunks of CHUNK, then over the chunks' sums, and so on.
+
+    An accumulator that grows is copied at each step, so only chunks have one: time is linear in the array. (As SQL
+    text, since each nested lambda of the Python API costs the driver many calls.)
+    """
+    plain = lambda v: f"aggregate({v}, named_struct('at', 0, 'out', cast(array() as array<int>)), (s, x) -> named_struct('at', s.at + x, 'out', concat(s.out, array(s.at))), s -> s.out)"
+    if not level:
+        return plain(values)
+    v, c, p, a, t, y = (f"{k}{level}" for k in "vcpaty")
+    chunks = f"transform(sequence(0, int((size({v}) - 1) div {CHUNK})), {c} -> slice({v}, {c} * {CHUNK} + 1, {CHUNK}))"
+    tops = running(f"transform({p}, {y} -> aggregate({y}, 0, (s, x) -> s + x))", level - 1)
+    joined = f"flatten(zip_with({p}, {tops}, ({a}, {t}) -> transform({plain(a)}, {y} -> {y} + {t})))"
+    return f"transform(array({values}), {v} -> if(size({v}) = 0, cast(array() as array<int>), transform(array({chunks}), {p} -> {joined})[0]))[0]"
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(u, v) links of longs to (u, v): each linked node but the smallest, with the smallest of its component.
 

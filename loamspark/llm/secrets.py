@@ -1,28 +1,29 @@
 """Secret scans [native]: trigram inverted index.
 
-From each rule's regular expression a Boolean trigram query is derived: a conjunction of disjunctions that every match obeys. The index
-is partitioned by document: its postings, one bitmap of the rules' trigrams for a document, stand
-beside the text they index, so that intersecting postings is bit arithmetic within the scan and no text is
-shuffled. `postings` gives the same index turned round (trigram, documents). Rules are verified by their regular expression on candidates only;
-rules without mandatory trigrams scan fully.
+From each rule's regular expression a Boolean trigram query is derived: a conjunction of disjunctions of trigrams that every match obeys.
+`postings` is the index: for each trigram and block of documents the list of the documents that have it, blocks of about BLOCK documents by
+a hash of the text, so that no list grows with the corpus. Lists are intersected and united block by
+block as the queries say; what is left are the candidates of each rule. They go to the scan as a bitmap of SLOTS rows, 16 MB at most
+however many they are, in which strays are possible but no candidate is lost; rules are verified by their
+regular expression on candidates only, so strays cost time and change nothing. Rules without mandatory trigrams
+scan fully. No text is shuffled.
 
 Defined cases: null text is the empty text and has no spans; offsets are code points, end exclusive;
 rules are tried independently, leftmost and non-overlapping each, and matches that fail a rule's
 least length are dropped with what they covered; spans that begin together come in the order of RULES;
-repeated rows each get their row; an empty table gives an empty result.
+repeated rows each get their row; an empty table gives an empty result. Time is linear in the spans of a text.
 """
 
 from __future__ import annotations
 
+import functools
 import re
-import re._constants as sre
-import re._parser as parser
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import bound, forget, running, stored, table
 
 
 @dataclass(frozen=True)
@@ -34,6 +35,7 @@ class Rule:
     base: bool = False
 
 
+#: Rules are written so that the JVM's and Python's regular expressions agree.
 RULES = (
     Rule("assign", r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 2, 8, True),
     Rule("access", r"AKIA[A-Z0-9]+", 0, 16, True),
@@ -45,12 +47,86 @@ RULES = (
     Rule("cloud", r"AIza[A-Za-z0-9_-]+", 0, 39),
 )
 
+SPANS = "array<struct<start:int,rank:int,kind:string,end:int>>"
 ENOUGH = 4  # trigrams of a string that are asked for
 MANY = 32  # strings kept exact while a pattern is read
+BLOCK = 4096  # documents of a posting block
+SLOTS, BITS = 4096, 32_768  # rows of the candidates' bitmap, and bits of a row
 
 
-def _cross(a: set[str], b: set[str]) -> set[str] | None:
-    return {x + y for x in a for y in b} if len(a) * len(b) <= MANY else None
+@dataclass(frozen=True)
+class Part:
+    """A part of a pattern: one of some characters (None: any other), a choice of sequences, or a repetition of either."""
+
+    chars: frozenset[str] | None = None
+    choices: tuple[tuple[Part, ...], ...] | None = None
+    low: int = 1
+    high: int | None = 1
+
+
+def parsed(pattern: str) -> tuple[Part, ...]:
+    """A regular expression as a sequence of parts: literals, classes, groups, alternatives and repetitions; the rest may be anything."""
+    at = 0
+
+    def escaped() -> frozenset[str] | None:
+        nonlocal at
+        c = pattern[at]
+        at += 1
+        if c == "x":
+            at += 2
+            return frozenset(chr(int(pattern[at - 2 : at], 16)))
+        return None if c.isalnum() else frozenset(c)
+
+    def one_of() -> frozenset[str] | None:
+        nonlocal at
+        out, plain = set(), pattern[at] != "^"
+        first = at
+        while pattern[at] != "]" or at == first:
+            c = pattern[at]
+            at += 1
+            if c == "\\":
+                e = escaped()
+                plain, e = plain and e is not None, e or frozenset()
+                out |= e
+            elif c == "-" and at - 1 > first and pattern[at] != "]":
+                plain = False
+            else:
+                out.add(c)
+        at += 1
+        return frozenset(out) if plain else None
+
+    def choices() -> tuple[tuple[Part, ...], ...]:
+        nonlocal at
+        out: list[list[Part]] = [[]]
+        while at < len(pattern) and pattern[at] != ")":
+            c = pattern[at]
+            at += 1
+            if c == "|":
+                out.append([])
+                continue
+            if c == "(":
+                if pattern[at] == "?":
+                    at = pattern.index(":", at) + 1
+                part = Part(choices=choices())
+                at += 1
+            elif c in "^$":
+                continue
+            else:
+                part = Part(one_of() if c == "[" else escaped() if c == "\\" else None if c == "." else frozenset(c))
+            m = re.compile(r"([*+?]|\{(\d+)(,?)(\d*)\})[?+]?").match(pattern, at)
+            if m:
+                at = m.end()
+                low = int(m[2]) if m[2] else int(m[1] == "+")
+                high = (1 if m[1] == "?" else None) if not m[2] else int(m[4]) if m[4] else None if m[3] else low
+                part = Part(part.chars, part.choices, low, high)
+            out[-1].append(part)
+        return tuple(map(tuple, out))
+
+    return (Part(choices=choices()),)
+
+
+def _cross(a: set[str] | None, b: set[str] | None) -> set[str] | None:
+    return {x + y for x in a for y in b} if a is not None and b is not None and len(a) * len(b) <= MANY else None
 
 
 def trigram_query(pattern: str) -> list[list[tuple[str, ...]]]:
@@ -67,132 +143,135 @@ def trigram_query(pattern: str) -> list[list[tuple[str, ...]]]:
         least = [x for x in sets if not any(set(y) < set(x) for y in sets)]  # a choice that needs more than another adds nothing
         clauses.append(sorted({tuple(x[:: -(-len(x) // ENOUGH)]) for x in least}))
 
-    def exact_of(seq) -> set[str] | None:
+    def once(part: Part) -> set[str] | None:
+        if part.choices is None:
+            return None if part.chars is None else {c.lower() for c in part.chars}
+        found = [exact_of(seq) for seq in part.choices]
+        return None if any(f is None for f in found) else set().union(*found)
+
+    def exact_of(seq: tuple[Part, ...]) -> set[str] | None:
         """The strings that a part of a pattern can be, if they are few."""
         now: set[str] | None = {""}
-        for op, arg in seq:
-            if op is sre.LITERAL:
-                part = {chr(arg).lower()}
-            elif op is sre.IN and all(o is sre.LITERAL for o, _ in arg):
-                part = {chr(a).lower() for _, a in arg}
-            elif op is sre.SUBPATTERN:
-                part = exact_of(arg[3])
-            elif op is sre.BRANCH:
-                parts = [exact_of(x) for x in arg[1]]
-                part = None if any(p is None for p in parts) else set().union(*parts)
-            elif op in (sre.MAX_REPEAT, sre.MIN_REPEAT) and arg[1] is not sre.MAXREPEAT and arg[1] <= 4:
-                one = exact_of(arg[2])
-                part = None if one is None else set()
-                for n in range(arg[0], arg[1] + 1) if one is not None else ():
-                    grown: set[str] | None = {""}
-                    for _ in range(n):
-                        grown = _cross(grown, one) if grown is not None else None
-                    part = None if part is None or grown is None else part | grown
-            else:
-                part = None
-            now = _cross(now, part) if now is not None and part is not None else None
-            if now is None:
-                return None
+        for part in seq:
+            one, some = once(part), None
+            if one is not None and part.high is not None and part.high <= 4:
+                power: set[str] | None = {""}
+                some = {""} if part.low == 0 else set()
+                for n in range(1, part.high + 1):
+                    power = _cross(power, one)
+                    some = None if some is None or power is None else some | power if n >= part.low else some
+            now = _cross(now, some)
         return now
 
-    def walk(seq) -> None:
+    def walk(seq: tuple[Part, ...]) -> None:
         exact: set[str] = {""}
-        for item in seq:
-            part = exact_of([item])
-            joined = _cross(exact, part) if part is not None else None
+        for part in seq:
+            own = exact_of((part,))
+            joined = _cross(exact, own)
             if joined is not None:
                 exact = joined
                 continue
             flush(exact)
-            exact = part if part is not None else {""}
-            op, arg = item
-            if part is None and op is sre.SUBPATTERN:
-                walk(arg[3])
-            elif part is None and op in (sre.MAX_REPEAT, sre.MIN_REPEAT) and arg[0] > 0:
-                walk(arg[2])
+            exact = own if own is not None else {""}
+            if own is None and part.low > 0 and part.choices is not None and len(part.choices) == 1:
+                walk(part.choices[0])
         flush(exact)
 
-    walk(parser.parse(pattern))
+    walk(parsed(pattern))
     return clauses
 
 
 def index_trigrams(rules: tuple[Rule, ...] = RULES) -> list[str]:
-    """The trigrams of all rules' queries; a bit for each."""
-    found = sorted({t for r in rules for clause in trigram_query(r.pattern) for choice in clause for t in choice})
-    if len(found) > 63:
-        raise ValueError("more trigrams than a bitmap of 63 holds: index the rules in two tables")
-    return found
-
-
-def bitmap(text: Column, trigrams: list[str]) -> Column:
-    """A document's postings: a bit for each of the trigrams that its lower-cased text has."""
-
-    def bits(low: Column) -> Column:
-        out = F.lit(0).cast("long")
-        for k, t in enumerate(trigrams):
-            out = out.bitwiseOR(F.when(F.contains(low, F.lit(t)), F.lit(1 << k)).otherwise(F.lit(0)).cast("long"))
-        return out
-
-    return F.get(F.transform(F.array(F.lower(text)), bits), F.lit(0))  # as a lambda's argument the text is lower-cased once
-
-
-def matches_query(bits: Column, rule: Rule, trigrams: list[str]) -> Column:
-    """Whether postings answer a rule's query; always, for a rule without mandatory trigrams."""
-    out = F.lit(True)
-    for clause in trigram_query(rule.pattern):
-        choice = F.lit(False)
-        for need in clause:
-            mask = sum(1 << trigrams.index(t) for t in need)
-            choice = choice | (bits.bitwiseAND(F.lit(mask).cast("long")) == mask)
-        out = out & choice
+    """The trigrams of all rules' queries."""
+    return sorted({t for r in rules for clause in trigram_query(r.pattern) for choice in clause for t in choice})
+
+
+def key_of(text: Column) -> Column:
+    """What stands for a text in the lists. A clash only makes a stray candidate."""
+    return F.xxhash64(F.coalesce(text, F.lit("")))
+
+
+def postings(docs: DataFrame, text_col: str = "text", rules: tuple[Rule, ...] = RULES) -> DataFrame:
+    """trigram, block, docs: the keys of a block's documents that have a trigram of the rules."""
+    blocks = max(16, docs.count() // BLOCK)
+    low = F.lower(F.coalesce(F.col(text_col), F.lit("")))
+    has = lambda x: F.array_compact(F.array(*[F.when(F.contains(x, F.lit(t)), F.lit(t)) for t in index_trigrams(rules)]))
+    rows = docs.select(key_of(F.col(text_col)).alias("key"), F.explode(bound(low, has)).alias("trigram"))
+    return rows.groupBy("trigram", F.pmod("key", F.lit(blocks)).alias("block")).agg(F.collect_set("key").alias("docs"))
+
+
+def answers(index: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
+    """rule (its number), key: the documents that a rule's query leaves, by intersecting and uniting the lists of each block."""
+    per = index.groupBy("block").agg(F.map_from_entries(F.collect_list(F.struct("trigram", "docs"))).alias("lists"))
+    of = lambda t: F.coalesce(F.try_element_at("lists", F.lit(t)), F.array().cast("array<bigint>"))
+    found = []
+    for k, r in enumerate(rules):
+        clauses = [functools.reduce(F.array_union, [functools.reduce(F.array_intersect, map(of, need)) for need in choice]) for choice in trigram_query(r.pattern)]
+        if clauses:
+            found.append(F.struct(F.lit(k).alias("rule"), functools.reduce(F.array_intersect, clauses).alias("keys")))
+    return per.select(F.explode(F.array(*found)).alias("f")).select("f.rule", F.explode("f.keys").alias("key"))
+
+
+def _slot(key: Column) -> Column:
+    return F.pmod(key, F.lit(SLOTS)).cast("int")
+
+
+def _bit(key: Column, rule: Column) -> Column:
+    return F.pmod(F.xxhash64(key, rule), F.lit(BITS))
+
+
+def candidates(docs: DataFrame, text_col: str = "text", rules: tuple[Rule, ...] = RULES) -> DataFrame:
+    """slot, bits: the candidates of all rules in SLOTS rows of BITS bits at most."""
+    index = stored(postings(docs, text_col, rules), "secrets-postings")
+    pairs = answers(index, rules)
+    out = stored(pairs.groupBy(_slot(F.col("key")).alias("slot")).agg(F.bitmap_construct_agg(_bit(F.col("key"), F.col("rule"))).alias("bits")), "secrets-candidates")
+    forget(index)
     return out
 
 
-def postings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """The index turned round: trigram, doc_id."""
-    tri = index_trigrams(rules)
-    rows = docs.select(F.col(id_col).alias("doc_id"), bitmap(F.coalesce(F.col(text_col), F.lit("")), tri).alias("bits"))
-    has = [F.when(F.col("bits").bitwiseAND(F.lit(1 << k).cast("long")) != 0, F.lit(t)) for k, t in enumerate(tri)]
-    return rows.select(F.explode(F.array_compact(F.array(*has))).alias("trigram"), "doc_id")
+def _told(bits: Column, key: Column, rule: int) -> Column:
+    """Whether a candidate's bit is set."""
+    bit = _bit(key, F.lit(rule))
+    byte = F.conv(F.hex(F.substring(bits, (F.floor(bit / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+    return F.coalesce(F.call_function("shiftright", byte, (bit % 8).cast("int")) % 2 == 1, F.lit(False))
 
 
-def _spans(text: Column, rule: Rule, at: int) -> Column:
-    """All matches that are long enough, as array of (start, rank, kind, end)."""
+def _matches(text: Column, rule: Rule) -> Column:
+    """All matches in their order: array of (g, w, v), the lengths of the gap before a match, of the match and of its value."""
     whole = F.regexp_extract_all(text, F.lit(rule.pattern), F.lit(0))
     value = whole if rule.group == 0 else F.regexp_extract_all(text, F.lit(rule.pattern), F.lit(rule.group))
-    # what lies between the matches gives their places
-    gaps = F.split(text, rule.pattern, -1)
-    rows = F.arrays_zip(F.transform(gaps, F.length).alias("g"), F.transform(whole, F.length).alias("w"), F.transform(value, F.length).alias("v"))
-    kind = "array<struct<start:int,rank:int,kind:string,end:int>>"
-    begin = F.struct(F.lit(0).alias("at"), F.array().cast(kind).alias("out"))
+    gaps = F.slice(F.transform(F.split(text, rule.pattern, -1), F.length), F.lit(1), F.size(whole))
+    return F.arrays_zip(gaps.alias("g"), F.transform(whole, F.length).alias("w"), F.transform(value, F.length).alias("v"))
 
-    def step(s: Column, r: Column) -> Column:
-        start = s["at"] + r["g"]
-        end = start + F.coalesce(r["w"], F.lit(0))
-        hit = F.struct(start.alias("start"), F.lit(at).alias("rank"), F.lit(rule.kind).alias("kind"), end.alias("end"))
-        keep = r["w"].isNotNull() & (r["v"] >= rule.least)
-        return F.struct(end.alias("at"), F.when(keep, F.concat(s["out"], F.array(hit))).otherwise(s["out"]).cast(kind).alias("out"))
 
-    return F.aggregate(rows, begin, step, lambda s: s["out"])
+def _spans(matches: str, rule: Rule, at: int) -> Column:
+    """Those that are long enough, as array of (start, rank, kind, end): gaps and matches before one give its place."""
+    before = running(f"transform({matches}, r -> r.g + r.w)")
+    placed = f"zip_with({matches}, {before}, (r, b) -> named_struct('start', b + r.g, 'rank', {at}, 'kind', '{rule.kind}', 'end', b + r.g + r.w, 'v', r.v))"
+    return F.expr(f"transform(filter({placed}, s -> s.v >= {rule.least}), s -> named_struct('start', s.start, 'rank', s.rank, 'kind', s.kind, 'end', s.end))").cast(SPANS)
 
 
 def _could(text: Column, rule: Rule) -> Column:
     """A cheaper test than listing all matches: one long enough is there. Never false where a match is."""
-    if rule.pattern.endswith("+") and rule.group == 0 and rule.least > 1 and rule.pattern.count("+") == 1:
-        head = rule.pattern[:-1]
-        fixed = head[: head.rindex("[")]
-        return text.rlike(f"{head}{{{rule.least - len(re.sub(r'\[[^]]*\]', 'x', fixed))},}}")
+    m = re.fullmatch(r"((?:[\w-]|\[[^]^]+\])*)(\[[^]^]+\])\+", rule.pattern)
+    if m and rule.group == 0:
+        return text.rlike(f"{m[1]}{m[2]}{{{max(1, rule.least - len(re.sub(r'\[[^]]*\]', 'x', m[1])))},}}")
     return text.rlike(rule.pattern)
 
 
 def secrets(docs: DataFrame, text_col: str = "text", rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """docs with secret_spans: array of (start, rank, kind, end) in their order; replaces a column of that name."""
-    tri = index_trigrams(rules)
     text = F.coalesce(F.col(text_col), F.lit(""))
-    rows = docs.withColumn("__bits", bitmap(text, tri))
-    none = F.array().cast("array<struct<start:int,rank:int,kind:string,end:int>>")
-    per = [F.when(matches_query(F.col("__bits"), r, tri) & _could(text, r), _spans(text, r, k)).otherwise(none) for k, r in enumerate(rules)]
-    rows = rows.withColumns({f"__s{k}": c for k, c in enumerate(per)})
+    key = key_of(F.col(text_col))
+    gated = [bool(trigram_query(r.pattern)) for r in rules]
+    rows = docs
+    if any(gated):  # SLOTS rows of BITS bits: a broadcast of a known size
+        found = candidates(docs, text_col, rules).select(F.col("slot").alias("__slot"), F.col("bits").alias("__bits"))
+        rows = docs.join(F.broadcast(found), _slot(key) == F.col("__slot"), "left")
+    none = F.array().cast("array<struct<g:int,w:int,v:int>>")
+    gate = [_told(F.col("__bits"), key, k) if gated[k] else F.lit(True) for k in range(len(rules))]
+    rows = rows.withColumns({f"__m{k}": F.when(gate[k] & _could(text, r), _matches(text, r)).otherwise(none) for k, r in enumerate(rules)})
+    rows = rows.withColumns({f"__s{k}": _spans(f"__m{k}", r, k) for k, r in enumerate(rules)})
     out = F.array_sort(F.concat(*[F.col(f"__s{k}") for k in range(len(rules))]))
     return rows.select(*[F.col(f"`{c}`") for c in docs.columns if c != "secret_spans"], out.alias("secret_spans"))
 
@@ -207,4 +286,4 @@ def op1_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def brute(text: str | None, rules: tuple[Rule, ...] = RULES) -> list[tuple[int, int, str, int]]:
     """For tests: the spans of a text by re."""
-    return sorted((m.start(), k, r.kind, m.end()) for k, r in enumerate(rules) for m in re.finditer(r.pattern, text or "") if len(m[r.group]) >= r.least)
+    return sorted((m.start(), k, r.kind, m.end()) for k, r in enumerate(rules) for m in re.finditer(r.pattern, text or "", re.ASCII) if len(m[r.group]) >= r.least)

@@ -1,4 +1,10 @@
 import hashlib
+import random
+import re
+import time
+
+import pytest
+from pyspark.sql import functions as F
 
 from loamspark.llm import secrets
 
@@ -59,8 +65,49 @@ def test_awkward_and_empty(spark, awkward, no_docs):
     assert secrets.secrets(no_docs).collect() == []
 
 
-def test_postings(spark):
-    docs = spark.createDataFrame(PLANTED, "doc_id long, text string")
-    got = {(r["trigram"], r["doc_id"]) for r in secrets.postings(docs).collect()}
-    tri = secrets.index_trigrams()
-    assert got == {(g, i) for i, t in PLANTED for g in tri if g in (t or "").lower()}
+def test_postings_and_their_answers(spark):
+    """Lists hold exactly the documents that have a trigram; a rule's answers are those that its query allows, and no match is lost."""
+    docs = spark.createDataFrame([*PLANTED, (9, None), (10, PLANTED[0][1])], "doc_id long, text string")
+    texts = {r["k"]: r["t"] for r in docs.select(secrets.key_of(docs["text"]).alias("k"), F.coalesce("text", F.lit("")).alias("t")).collect()}
+    index = secrets.postings(docs)
+    got = {(r["trigram"], k) for r in index.collect() for k in r["docs"]}
+    assert got == {(g, k) for k, t in texts.items() for g in secrets.index_trigrams() if g in t.lower()}
+    found = {(r["rule"], r["key"]) for r in secrets.answers(index).collect()}
+    for n, rule in enumerate(secrets.RULES):
+        query = secrets.trigram_query(rule.pattern)
+        want = {(n, k) for k, t in texts.items() if query and all(any(all(g in t.lower() for g in need) for need in clause) for clause in query)}
+        assert {x for x in found if x[0] == n} == want
+        assert all((n, k) in want for k, t in texts.items() if query and re.search(rule.pattern, t))
+
+
+def test_any_number_of_trigrams(spark):
+    word = [f"k{hashlib.md5(str(k).encode()).hexdigest()[:9]}_" for k in range(26)]
+    many = tuple(secrets.Rule(f"r{k}", w + "[0-9]+", 0, 3) for k, w in enumerate(word))
+    assert len(secrets.index_trigrams(many)) > 63
+    rows = [(k, f"x {w}{k} {word[k - 1]} y") for k, w in enumerate(word)]
+    found = spans(secrets.secrets(spark.createDataFrame(rows, "doc_id long, text string"), rules=many).collect())
+    assert found == {k: secrets.brute(t, many) for k, t in rows} and all(len(x) == 1 for x in found.values())
+
+
+def test_many_spans_in_a_text(spark):
+    text = " ".join(f"token=secret{k:06d}" for k in range(200_000))
+    docs = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    secrets.secrets(docs.limit(0)).collect()
+    began = time.time()
+    found = spans(secrets.secrets(docs).collect())
+    assert found == {1: secrets.brute(text)} and len(found[1]) == 200_000
+    assert time.time() - began < 60
+
+
+@pytest.mark.parametrize("pattern", [r.pattern for r in secrets.RULES] + [r"ab(?:cd|ef)?gh", r"x{2,3}yz[0-9]", r"(?:one|two)three", "a.c", "[abc]de", r"foo\.bar+baz"])
+def test_every_match_answers_its_query(pattern):
+    rng = random.Random(pattern)
+    query = secrets.trigram_query(pattern)
+    hits = 0
+    pool = [*"abcdefghxyz019.-_=:' ", *re.findall(r"[A-Za-z-]{3,}", pattern), "AKIA", "eyJ", "password", "one", "two", "three", "foo.barrbaz", "xox", "secret=", "_", "ghp_a1", "xoxb-12-a", "AIzaX_1", "f" * 40, "abgh", "abcdgh", "xxyz", "xxxyz", "-----BEGIN PRIVATE KEY-----", "-----BEGIN EC PRIVATE KEY-----", "gh", "xoxb-", "eyJa.eyJb.c", "AIza"]
+    for _ in range(6000):
+        text = "".join(rng.choice(pool) for _ in range(rng.randrange(1, 12)))
+        if re.search(pattern, text):
+            hits += 1
+            assert all(any(all(g in text.lower() for g in need) for need in clause) for clause in query)
+    assert hits
