@@ -12,7 +12,7 @@ make one task sort all its turns.
 
 Defined cases: null text and null role are empty; rows of one turn number go by role, then text;
 repeated rows are turns each; a null conv_id is a conversation of its own; a null turn comes
-first; an empty table gives an empty result; other columns are not looked at.
+first; an empty table gives an empty result; other columns are not looked at. Time is linear in a conversation's turns.
 """
 
 from __future__ import annotations
@@ -20,11 +20,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import bound, running, table
 
 START, SEP, NEXT, END = "<|im_start|>", "<|im_sep|>", "<|im_next|>", "<|im_end|>"
 CONTROL = r"<\|[a-z_]+\|>|</?s>|\[/?INST\]|<</?SYS>>"
-STRETCH = 64
+STRETCH, PIECE = 64, 4096
 ROLES_LEARNED = ("assistant",)
 
 
@@ -54,13 +54,9 @@ def formatted(turns: DataFrame, conv: str = "conv_id", turn: str = "turn", role:
     head = lambda t, i: F.when(same(i), F.lit(NEXT)).otherwise(F.concat(F.when(i > 0, F.lit(END)).otherwise(F.lit("")), F.lit(START), t["r"], F.lit(SEP)))
     whole = whole.withColumn("bits", F.transform("ts", lambda t, i: F.struct(head(t, i).alias("h"), t["x"].alias("x"), t["role"].isin(*learned).alias("loss"))))
     body = F.concat(F.array_join(F.transform("bits", lambda b: F.concat(b["h"], b["x"])), ""), F.lit(END))
-    sizes = F.transform("bits", lambda b: F.struct(F.length(b["h"]).alias("h"), F.length(b["x"]).alias("x"), b["loss"].alias("loss")))
-    kind = "array<struct<start:int,end:int>>"
-    step = lambda s, b: F.struct(
-        (s["at"] + b["h"] + b["x"]).alias("at"),
-        F.when(b["loss"], F.concat(s["out"], F.array(F.struct((s["at"] + b["h"]).alias("start"), (s["at"] + b["h"] + b["x"]).alias("end"))))).otherwise(s["out"]).cast(kind).alias("out"),
-    )
-    spans = F.aggregate(sizes, F.struct(F.lit(0).alias("at"), F.array().cast(kind).alias("out")), step, lambda s: s["out"])
+    before = running("transform(bits, b -> length(b.h) + length(b.x))")
+    placed = f"zip_with(bits, {before}, (b, at) -> named_struct('start', at + length(b.h), 'end', at + length(b.h) + length(b.x), 'loss', b.loss))"
+    spans = F.expr(f"transform(filter({placed}, s -> s.loss), s -> named_struct('start', s.start, 'end', s.end))")
     return whole.select("conv_id", body.alias("formatted"), spans.alias("loss_spans"))
 
 
@@ -76,9 +72,19 @@ def read_back(text: Column) -> Column:
     return F.flatten(F.transform(blocks, turns))
 
 
-def loss_text(text: Column, spans: Column) -> Column:
-    """What lies under the loss mask, unescaped."""
-    return F.array_join(F.transform(spans, lambda s: unescape(F.substring(text, s["start"] + 1, s["end"] - s["start"]))), "")
+def loss_text(formatted: DataFrame) -> Column:
+    """Of formatted(): what lies under the loss mask, unescaped. Spans are cut from pieces of PIECE characters, so that none is looked up from the start."""
+    pieces = F.regexp_extract_all("formatted", F.lit(f"(?s).{{1,{PIECE}}}"), F.lit(0))
+
+    def cut(p: Column) -> Column:
+        def one(s: Column) -> Column:
+            first = F.floor(s["start"] / PIECE).cast("int")
+            n = F.greatest(F.lit(0), F.floor((s["end"] - 1) / PIECE).cast("int") - first + 1)
+            return unescape(F.substring(F.array_join(F.slice(p, first + 1, n), ""), s["start"] % PIECE + 1, s["end"] - s["start"]))
+
+        return F.transform(formatted["loss_spans"], one)
+
+    return F.array_join(bound(pieces, cut), "")
 
 
 PLANTED = "</s>[INST] ok [/INST]"
@@ -88,6 +94,29 @@ def op6_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     extra = spark.range(2).select(F.lit(-1).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(PLANTED).alias("text"))
     out = formatted(turns.unionByName(extra))
-    back = out.select("conv_id", read_back(F.col("formatted")).alias("turns"), loss_text(F.col("formatted"), F.col("loss_spans")).alias("loss"), F.length("formatted").cast("long").alias("formatted_chars"))
+    back = out.select("conv_id", read_back(F.col("formatted")).alias("turns"), loss_text(out).alias("loss"), F.length("formatted").cast("long").alias("formatted_chars"))
     said = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
     return back.select("conv_id", F.size("turns").cast("long").alias("n_turns"), F.sha2(said, 256).alias("turns_sha256"), F.length("loss").cast("long").alias("loss_chars"), F.sha2("loss", 256).alias("loss_sha256"), "formatted_chars")
+
+
+def _sql() -> str:
+    escaped = lambda c: f"length(regexp_replace(replace({c}, chr(92), chr(92) || chr(92)), '([<\\[])(\\|[a-z_]+\\||/?s>|/?INST\\]|</?SYS>>)', '\\1\\\\\\2', 'g'))"
+    order = "order by turn nulls first, role, text"
+    return f"""
+with t as (
+  select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations
+  union all values (-1, 0, 'user', '{PLANTED}'), (-1, 1, 'assistant', '{PLANTED}')),
+e as (
+  select *, lag(role) over w as before, row_number() over w as i,
+         {escaped('role')} as role_size, {escaped('text')} as text_size
+  from t window w as (partition by conv_id {order}))
+select conv_id, count(*) as n_turns,
+       sha256(string_agg(role || chr(10) || text || chr(10), '' {order})) as turns_sha256,
+       sum(case role when 'assistant' then length(text) else 0 end)::bigint as loss_chars,
+       sha256(string_agg(case role when 'assistant' then text else '' end, '' {order})) as loss_sha256,
+       (sum(text_size + case when before = role then {len(NEXT)} else {len(START + SEP)} + role_size + case when i > 1 then {len(END)} else 0 end end) + {len(END)})::bigint as formatted_chars
+from e group by conv_id
+"""
+
+
+SQL = {"op6_chat": _sql()}

@@ -25,4 +25,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(exact_dedup.SQL)
+    return secrets.SQL | chat.SQL | exact_dedup.SQL

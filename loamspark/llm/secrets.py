@@ -287,3 +287,27 @@ def op1_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 def brute(text: str | None, rules: tuple[Rule, ...] = RULES) -> list[tuple[int, int, str, int]]:
     """For tests: the spans of a text by re."""
     return sorted((m.start(), k, r.kind, m.end()) for k, r in enumerate(rules) for m in re.finditer(r.pattern, text or "", re.ASCII) if len(m[r.group]) >= r.least)
+
+
+def _sql() -> str:
+    def found(k: int, r: Rule) -> str:
+        pattern = r.pattern.replace("'", "''")
+        return f"""select n, {k} as rank, '{r.kind}' as kind, generate_subscripts(w, 1) as i, unnest(w) as w, unnest(v) as v, unnest(g[1:len(w)]) as g
+  from (select n, string_split_regex(t, '{pattern}') as g, regexp_extract_all(t, '{pattern}') as w, regexp_extract_all(t, '{pattern}', {r.group}) as v from d where regexp_matches(t, '{pattern}'))"""
+
+    counts = ", ".join(f"coalesce(sum((kind = '{r.kind}')::int), 0)::bigint as n_{r.kind}" for r in RULES[:3])
+    return f"""
+with d as (select row_number() over () as n, doc_id, coalesce(text, '') as t from documents),
+m as ({" union all ".join(found(k, r) for k, r in enumerate(RULES))}),
+s as (
+  select n, rank, kind, stop - length(w) as start, stop, length(v) as size
+  from (select *, sum(length(g) + length(w)) over (partition by n, rank order by i) as stop from m)),
+kept as (select n, rank, kind, start, kind || ':' || start::bigint || ':' || stop::bigint as span from s where {" or ".join(f"(rank = {k} and size >= {r.least})" for k, r in enumerate(RULES))})
+select doc_id, {counts},
+       sha256(coalesce(string_agg(span, ',' order by start, rank) filter (rank < 3), '')) as base_sha256,
+       coalesce(string_agg(span, ',' order by start, rank), '') as spans
+from d left join kept using (n) group by n, doc_id
+"""
+
+
+SQL = {"op1_secrets": _sql()}
