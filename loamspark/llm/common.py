@@ -5,7 +5,7 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -112,6 +112,11 @@ def bound(value: Column, use: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), use), F.lit(0))
 
 
+def constant(values: Iterable, kind: str, mark: str = ",") -> Column:
+    """An array that the optimizer folds to one literal: thousands of numbers cost the plan one node."""
+    return F.split(F.lit(mark.join(map(str, values))), mark).cast(f"array<{kind}>")
+
+
 CHUNK, LEVELS = 64, 2
 
 

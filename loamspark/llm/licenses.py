@@ -19,14 +19,13 @@ from __future__ import annotations
 
 import functools
 import re
-from collections.abc import Iterable
 
 import numpy as np
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bound, table
+from .common import bound, constant, table
 from .license_texts import FRAMES, NAMES, PHRASES, PROSE, SUBJECTS, TEMPLATES
 
 UNKNOWN = "unknown"
@@ -130,11 +129,6 @@ def trained() -> Model:
     return Model()
 
 
-def _constant(values: Iterable, kind: str, mark: str = ",") -> Column:
-    """An array that the optimizer folds to one literal: thousands of numbers cost the plan one node."""
-    return F.split(F.lit(mark.join(map(str, values))), mark).cast(f"array<{kind}>")
-
-
 def _table(model: Model) -> tuple[list[int], list[int]]:
     """Places of the grams by slot of their hash, probing onwards: (slot -> 1 + place, or 0), and how far a probe may have to go."""
     slot, far = [0] * SLOTS, 0
@@ -152,8 +146,8 @@ def classified(paragraph: Column) -> Column:
     model = trained()
     many = len(model.classes)
     slot, steps = _table(model)
-    slots, hashes = _constant(slot, "int"), _constant(map(_hash, model.vocabulary), "bigint")
-    weights = _constant((repr(float(v)) for v in model.weights.reshape(-1)), "double")
+    slots, hashes = constant(slot, "int"), constant(map(_hash, model.vocabulary), "bigint")
+    weights = constant((repr(float(v)) for v in model.weights.reshape(-1)), "double")
 
     def word_list(t: Column) -> Column:
         return F.regexp_extract_all(F.translate(t, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"), F.lit(WORD), F.lit(0))
@@ -176,7 +170,7 @@ def classified(paragraph: Column) -> Column:
         known = F.filter(F.transform(hashed, place), lambda k: k > 0)
         total = F.aggregate(known, F.array_repeat(F.lit(0.0), many), lambda s, k: F.zip_with(s, F.slice(weights, (k - 1) * many + 1, many), lambda a, c: a + c))
         scale = F.lit(1.0) / F.sqrt(F.greatest(F.lit(1), F.size(ws)))
-        scores = F.zip_with(total, _constant((repr(float(v)) for v in model.bias), "double"), lambda a, c: (a * scale + c) / float(model.temperature))
+        scores = F.zip_with(total, constant((repr(float(v)) for v in model.bias), "double"), lambda a, c: (a * scale + c) / float(model.temperature))
         return F.struct(scores.alias("z"), F.array_max(scores).alias("top"), ws.alias("ws"))
 
     def rated(s: Column) -> Column:
@@ -190,7 +184,7 @@ def classified(paragraph: Column) -> Column:
         shingles = F.array_distinct(F.when(F.size(s["ws"]) >= SHINGLE, joined(s["ws"], SHINGLE)).otherwise(F.array(F.array_join(s["ws"], " "))))
         known = F.lit(None).cast("array<string>")
         for c in model.classes[1:]:
-            known = F.when(name == c, _constant(model.shingles(c), "string", "\n")).otherwise(known)
+            known = F.when(name == c, constant(model.shingles(c), "string", "\n")).otherwise(known)
         like = F.size(F.array_intersect(shingles, known)) / F.size(shingles)
         return F.struct(name.alias("family"), s["p"].alias("probability"), F.coalesce(like >= SIMILAR, F.lit(False)).alias("confirmed"))
 
