@@ -2,10 +2,12 @@
 
 Every learned language has a smoothed model of hashed byte trigrams inside letter words. A document is a mixture:
 each word comes from one language, and expectation-maximisation finds the proportions. Languages enter the document's set, largest
-proportion first, as long as each raises the log-likelihood by more than PENALTY * ln(words + 1).
+proportion first, as long as each raises the log-likelihood by more than PENALTY * ln(words + 1); every set is fitted
+anew, so its likelihood and the proportions returned are its own.
 
 Training reads text and non-null lang of documents whose crc32(doc_id as text) mod 3 is not 1, at most about TRAIN_DOCS
-of a language (chosen by a hash of the doc_id; the bound is a parameter, and texts are read whole).
+of a language (chosen by a hash of the doc_id) and the LANGS languages of most documents; both bounds are parameters, and
+texts are read whole. So the model has LANGS * BUCKETS numbers at most, whatever the corpus holds.
 
 Defined cases: null text and text without a letter are `und` with score 0; with nothing to learn from
 all are `und`; a null doc_id is neither held out nor learned from; repeated rows count each; an
@@ -14,7 +16,6 @@ empty table gives an empty result; a language that ties comes first by name.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,17 +25,21 @@ from pyspark.sql import functions as F
 
 from .common import bounded_batches, table
 
-TRAIN_DOCS = 4_000
+TRAIN_DOCS, LANGS = 4_000, 200
 BUCKETS, SMOOTH, FLOOR = 1 << 16, 0.3, 1e-3
 ROUNDS, PENALTY = 8, 2.0
 #: Floats that one piece of text may need at once.
 PIECE = 4_000_000
 FOUND = "struct<lang:string,score:double,langs:array<string>,shares:array<double>>"
 
-_LETTER = re.compile(r"[^\W\d_]")
 _WORDS = bytes(c if c >= 128 or chr(c).isalpha() else 32 for c in range(256))
 
 
+def has_letter(text: str) -> bool:
+    """A character of Unicode's class L; numerals such as a superscript two or a Roman eight are none."""
+    return any(map(str.isalpha, text))
+
+
 def _bytes(text: str) -> bytes:
     return text.lower().encode().translate(_WORDS)
 
@@ -98,20 +103,21 @@ class Model:
 
         full, _ = em(np.full((q.shape[0], len(first)), 1 / q.shape[0], np.float32), ROUNDS)
         rank = np.argsort(np.argsort(-full, axis=0, kind="stable"), axis=0, kind="stable")
-        size, best = np.ones(len(first), np.int64), None
-        for k in range(1, q.shape[0] + 1):
+        size, chosen = np.ones(len(first), np.int64), np.where(rank < 1, np.float32(1), np.float32(0))
+        best = em(chosen, 0)[1] - PENALTY * np.log(n + 1)
+        for k in range(2, q.shape[0] + 1):
             pi = np.where(rank < k, full + np.float32(1e-6), np.float32(0))
-            _, ll = em(pi / pi.sum(axis=0), 0)
+            pi, ll = em(pi / pi.sum(axis=0), ROUNDS)
             value = ll - PENALTY * k * np.log(n + 1)
-            better = np.ones(len(first), bool) if best is None else (value > best) & (size == k - 1)
-            size, best = np.where(better, k, size), value if best is None else np.where(better, value, best)
+            better = (value > best) & (size == k - 1)
             if not better.any():
                 break
-        return full, rank < size
+            size, best, chosen = np.where(better, k, size), np.where(better, value, best), np.where(better, pi, chosen)
+        return chosen, rank < size
 
     def predict(self, texts: list[str | None]) -> list[dict]:
         out: list[dict] = [{"lang": "und", "score": 0.0, "langs": [], "shares": []} for _ in texts]
-        known = [(i, _bytes(t)) for i, t in enumerate(texts) if t and self.langs and _LETTER.search(t)]
+        known = [(i, _bytes(t)) for i, t in enumerate(texts) if t and self.langs and has_letter(t)]
         while known:
             part, size = [], 0
             while known and (not part or size + len(known[-1][1]) < PIECE // (4 * len(self.langs))):
@@ -132,11 +138,11 @@ def held_out(id_col: Column) -> Column:
 def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", most: int = TRAIN_DOCS) -> Model:
     rows = docs.select(F.col(id_col).alias("i"), F.col(text_col).alias("t"), F.col(lang_col).alias("l"))
     rows = rows.where(F.col("t").isNotNull() & F.col("l").isNotNull() & F.col("i").isNotNull() & ~held_out(F.col("i")))
-    have = {r["l"]: r["n"] for r in rows.groupBy("l").agg(F.count("*").alias("n")).collect()}
+    have = {r["l"]: r["n"] for r in rows.groupBy("l").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "l").limit(LANGS).collect()}
     if not have:
         return Model([], np.zeros((0, BUCKETS)))
     share = F.create_map(*[F.lit(x) for lang, n in have.items() for x in (lang, min(1.0, most / n))])
-    chosen = rows.where(F.pmod(F.xxhash64("i"), F.lit(1 << 20)) < share[F.col("l")] * (1 << 20))
+    chosen = rows.where(F.pmod(F.xxhash64("i"), F.lit(1 << 20)) < F.coalesce(F.try_element_at(share, F.col("l")), F.lit(0.0)) * (1 << 20))
     bounded_batches(docs.sparkSession)
     counts = chosen.select("l", "t").mapInArrow(_count, "lang string, bucket long, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
     got = counts.toPandas()
