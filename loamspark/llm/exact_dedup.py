@@ -1,8 +1,9 @@
 """Exact dedup [native]: tree-merge of sorted digest runs.
 
-Every input partition yields a run of (digest, best row, rows), sorted by Spark's aggregation.
-Runs are merged FAN_IN at a time, in rounds as in a binomial tree, until one is left; each level keeps
-of a digest the verified best row and the sum of the rows. The result goes back down the runs.
+Every input partition yields a run of (digest, best row, rows), sorted. In each round FAN_IN neighbours (four binomial rounds at once) exchange
+their runs by ranges of (run, digest), so that a merged run lies sorted over as many tasks as it needs and no task holds a whole
+one; a sort-based aggregation merges the parts and keeps of a digest the verified best row and the sum of the rows.
+Rounds go on until one run is left, however many there were. The result goes back down the runs.
 
 Defined cases: null text is the empty text; texts without any character but white space are
 equal; of rows that tie in length and doc_id (repeated rows) exactly one stays; a null doc_id
@@ -14,10 +15,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import attach, run_id, sized, stored, table
+from .common import attach, forget, run_id, sized, stored, table
 
 SPACE = "[\\x20\\x09-\\x0D]+"
-FAN_IN, ROUNDS = 16, 2
+FAN_IN = 16
 #: Equal means: equal SHA-256 of the normalised text, verified by its XXH64 and its length in bytes.
 KEY = ["digest", "check", "size"]
 
@@ -35,7 +36,7 @@ def signatures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
             F.xxhash64("n").alias("check"),
             F.octet_length("n").alias("size"),
             F.monotonically_increasing_id().alias("row"),
-            run_id(FAN_IN**ROUNDS).alias("run"),
+            F.spark_partition_id().alias("run"),
         ),
         "signatures",
     )
@@ -44,10 +45,12 @@ def signatures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 def merged(sig: DataFrame) -> DataFrame:
     """KEY, best (its doc_id, chars and row), rows: the root of the merge tree."""
     best = F.struct((-F.col("chars")).alias("minus"), F.col("doc_id").isNull().alias("absent"), "doc_id", "row")
-    level = sig.groupBy(*KEY, "run").agg(F.min(best).alias("best"), F.count("*").alias("rows"))
-    for _ in range(ROUNDS):
-        level = level.withColumn("run", F.floor(F.col("run") / FAN_IN).cast("int"))
-        level = level.groupBy(*KEY, "run").agg(F.min("best").alias("best"), F.sum("rows").alias("rows"))
+    runs = (sig.agg(F.max("run").alias("run")).first()["run"] or 0) + 1
+    level = sig.groupBy("run", *KEY).agg(F.min(best).alias("best"), F.count("*").alias("rows"))
+    while runs > 1:
+        runs = -(-runs // FAN_IN)
+        level = level.withColumn("run", F.floor(F.col("run") / FAN_IN).cast("int")).repartitionByRange("run", *KEY)
+        level = level.groupBy("run", *KEY).agg(F.min("best").alias("best"), F.sum("rows").alias("rows"))
     return level.select(*KEY, F.col("best.doc_id").alias("keep_id"), F.col("best.row").alias("keep_row"), "rows")
 
 
@@ -71,6 +74,7 @@ def drop_exact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     same = ["doc_id", "chars", "text_hash"]
     marks = found.groupBy(*same).agg(F.max("kept").alias("kept"), F.count("*").alias("rows"))
     marks = stored(marks.where("not kept or rows > 1").select(F.struct(*same).alias("__mark"), "kept"), "exact-marks")
+    forget(found)
     text = F.coalesce(F.col(text_col), F.lit(""))
     named = docs.withColumn("__own", F.struct(F.col(id_col).alias("doc_id"), F.length(text).cast("long").alias("chars"), F.xxhash64(text).alias("text_hash")))
     joined = named.join(sized(marks.withColumnRenamed("kept", "__kept")), F.col("__own") == F.col("__mark"), "left")

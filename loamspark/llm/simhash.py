@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import attach, bounded_batches, components, run_id, sized, stored, table
+from .common import attach, bounded_batches, components, forget, run_id, sized, stored, table
 
 SHINGLE, SEED, BITS, MOST = 3, 42, 64, 2
 PIVOTS, BLOCKS, BUCKET = 12, 4, 32
@@ -103,11 +103,14 @@ def candidate_keys(nodes: DataFrame) -> DataFrame:
     return pivot_tables(nodes).select(F.explode(keys).alias("key"), "fp", "reach")
 
 
-def links(nodes: DataFrame) -> DataFrame:
-    """(u, v): links between distinct fingerprints, or between them and a word within one bit. Same components as all links."""
+def pivot_buckets(nodes: DataFrame) -> DataFrame:
+    """key, fp, reach, count: the keys that fingerprints share."""
     keys = candidate_keys(nodes)
-    sizes = keys.groupBy("key").count().where("count > 1")
-    shared = stored(keys.join(sizes, "key"), "pivot-buckets")
+    return stored(keys.join(keys.groupBy("key").count().where("count > 1"), "key"), "pivot-buckets")
+
+
+def links(shared: DataFrame) -> DataFrame:
+    """(u, v): links between distinct fingerprints, or between them and a word within one bit. Same components as all links."""
     small = shared.where(f"count <= {BUCKET}").groupBy("key").agg(F.collect_list(F.struct("fp", "reach")).alias("all"))
 
     def partners(x: Column) -> Column:
@@ -133,13 +136,17 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     prints = stored(prints, "fingerprints")
     runs = prints.groupBy("fp", "run").agg(F.min("doc_id").alias("low"), F.count("*").alias("rows"))
     nodes = stored(runs.groupBy("fp").agg(F.min("low").alias("low"), F.sum("rows").alias("rows")), "nodes")
-    tops = components(links(nodes)).select(F.col("u").alias("fp"), F.col("v").alias("top"))
+    buckets = pivot_buckets(nodes)
+    ends = components(links(buckets))
+    tops = ends.select(F.col("u").alias("fp"), F.col("v").alias("top"))
     placed = nodes.join(tops, "fp", "left").withColumn("top", F.coalesce("top", "fp"))
     multi = placed.join(tops.select("top").distinct(), "top", "left_semi")
     sums = multi.groupBy("top").agg(F.min("low").alias("top_low"), F.sum("rows").alias("top_rows"))
     joined = placed.join(sums, "top", "left")
     groups = joined.select("fp", F.when(F.col("top_rows").isNull(), F.col("low")).otherwise(F.col("top_low")).alias("component_id"), F.coalesce("top_rows", "rows").alias("component_rows"))
-    return attach(prints, groups, ["fp"]).select("doc_id", "fp", "component_id", "component_rows")
+    out = stored(attach(prints, groups, ["fp"]).select("doc_id", "fp", "component_id", "component_rows"), "near-groups")
+    forget(prints, nodes, buckets, ends)
+    return out
 
 
 def drop_near(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -47,3 +47,24 @@ def test_ties_and_white_space(spark):
     out = {r["doc_id"]: r for r in exact_dedup.exact_groups(docs).collect()}
     assert {r["keep_id"] for i, r in out.items() if i != 6 and i != 7} == {8}
     assert {r["keep_id"] for i, r in out.items() if i in (6, 7)} == {6}
+
+
+def test_any_number_of_runs(spark):
+    """600 input partitions are merged in three rounds of exchanged ranges, without a second exchange for the aggregation."""
+    texts = [f"text {k % 97}" + " " * (k % 5) for k in range(1800)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(600)
+    with_conf = spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        sig = exact_dedup.signatures(docs)
+        assert sig.agg({"run": "max"}).first()[0] == 599
+        root = exact_dedup.merged(sig)
+        plan = root._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("rangepartitioning") == 3 and plan.count("Exchange hashpartitioning") == 1
+        got = {(r["keep_id"], r["rows"]) for r in root.collect()}
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", with_conf)
+    groups = {}
+    for k, t in enumerate(texts):
+        groups.setdefault(t.replace(" ", ""), []).append((-len(t), k))
+    assert got == {(min(g)[1], len(g)) for g in groups.values()}

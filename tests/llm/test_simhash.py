@@ -1,7 +1,9 @@
 import random
 from collections import Counter
 
+import pytest
 import xxhash
+
 from loamspark.llm import common, simhash
 
 SMALL = "/root/testdata/sf0.01"
@@ -74,7 +76,7 @@ def test_links_of_crowded_buckets(spark):
     prints |= {rng.getrandbits(64) for _ in range(300)}
     signed = lambda x: x - 2**64 if x >= 2**63 else x
     nodes = spark.createDataFrame([(signed(x),) for x in prints], "fp long")
-    tops = common.components(simhash.links(nodes))
+    tops = common.components(simhash.links(simhash.pivot_buckets(nodes)))
     got = {r["u"] % 2**64: r["v"] % 2**64 for r in tops.collect()}
     ids = {x: k for k, x in enumerate(sorted(prints))}
     want = dict(slow_components([(ids[x], x) for x in prints]))
@@ -91,3 +93,30 @@ def test_one_of_each_component_stays(spark):
     assert kept.columns == docs.columns
     want = {c for _, c in slow_components([(r["doc_id"], slow_print(r["text"])) for r in docs.collect()])}
     assert {r["doc_id"] for r in kept.select("doc_id").collect()} == want
+
+
+def test_nothing_but_the_result_is_left(spark, tmp_path, monkeypatch):
+    """Rounds and tables go as soon as nothing reads them; the result's own table goes with the session."""
+    monkeypatch.setattr(common, "shared_dir", lambda _: f"file://{tmp_path}")
+    out = simhash.near_groups(spark.read.parquet(f"{SMALL}/documents.parquet"))
+    left = sorted(p.name.rsplit("-", 1)[0] for p in tmp_path.iterdir())
+    assert left == ["near-groups"]
+    assert out.count() == 1000
+
+
+class Cluster:
+    """What shared_dir reads of a session."""
+
+    class conf:
+        @staticmethod
+        def get(key, default):
+            return default
+
+    def __init__(self, master):
+        self.sparkContext = type("Context", (), {"master": master})
+
+
+def test_a_cluster_must_name_its_folder():
+    for master in ("spark://host:7077", "yarn", "k8s://https://host", "local-cluster[3,1,1024]"):
+        with pytest.raises(RuntimeError):
+            common.shared_dir(Cluster(master))
