@@ -65,20 +65,6 @@ def chars(text: Column) -> Column:
     return F.when(text == "", F.array().cast("array<string>")).otherwise(F.split(text, ""))
 
 
-def bound(value: Column, use: Callable[[Column], Column]) -> Column:
-    """use(value), with value computed once a row also where it stands inside a lambda."""
-    return F.get(F.transform(F.array(value), use), F.lit(0))
-
-
-def grams(text: Column, order: int, pad: str = "\x02") -> Column:
-    """The order + 1 characters that end at each character; what stands before the text is pad."""
-    if not order:
-        return chars(text)
-    padded = F.concat(F.array_repeat(F.lit(pad), order), chars(text))
-    none = F.array().cast("array<string>")
-    return bound(padded, lambda c: F.when(F.size(c) > order, F.transform(F.sequence(F.lit(1), F.size(c) - order), lambda i: F.array_join(F.slice(c, i, order + 1), ""))).otherwise(none))
-
-
 def count_of(text: Column, pattern: str) -> Column:
     return F.regexp_count(text, F.lit(pattern))
 

@@ -10,10 +10,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def _names(keys: list) -> list[str]:
-    return [k if isinstance(k, str) else k._jc.toString() for k in keys]
-
-
 def conditional(counts: DataFrame, keys: list[str], ctx: list[str], n: str = "n") -> DataFrame:
     """Of distinct (keys, ctx, symbol) rows with n: keys, n_symbols, n_contexts, bits a symbol."""
     per = counts.groupBy(*keys, *ctx).agg(F.sum(n).alias("__n"), F.sum(F.col(n) * F.log2(F.col(n).cast("double"))).alias("__s"))

@@ -1,74 +1,129 @@
-"""Repetitions within a text: last earlier occurrences, runs, lags, record periods."""
+"""Repetitions within a text: last earlier occurrences, runs, lags, record periods.
+
+All of it stays within a row: numpy sorts a text's gram numbers and compares neighbours. No character is ever shuffled.
+"""
 
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from ..functions import text as T
+from .counting import codes, dense, gram_ids
+
+MATCHED = "struct<n_places:bigint,n_matched:bigint,sum_gap:bigint>"
+RUNS = "struct<n_runs:bigint,length:int,gap:int,start:int>"
+SEEN = "struct<n:bigint,seen:bigint,most:bigint>"
+VOTES = "array<struct<period:int,votes:bigint>>"
+
+
+def _per_text(text: Column, kind: str, arrow: pa.DataType, one: Callable[[str], object]) -> Column:
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for texts in batches:
+            yield pa.array([None if t.as_py() is None else one(t.as_py()) for t in texts], arrow)
+
+    return F.arrow_udf(run, kind)(text)
+
 
+def last_places(ids: np.ndarray) -> np.ndarray:
+    """For each place the latest earlier one with the same number, else -1."""
+    order = np.argsort(ids, kind="stable")
+    out = np.full(len(ids), -1, np.int64)
+    same = ids[order[1:]] == ids[order[:-1]]
+    out[order[1:][same]] = order[:-1][same]
+    return out
 
-def k_grams(text: Column, k: int, stride: int = 1) -> Column:
-    """The k characters, every stride-th, that begin at each place."""
-    span = (k - 1) * stride
 
-    def of(c: Column) -> Column:
-        one = (lambda i: F.array_join(F.slice(c, i, k), "")) if stride == 1 else (lambda i: F.concat(*[F.get(c, i - 1 + j * stride) for j in range(k)]))
-        return F.when(F.size(c) > span, F.transform(F.sequence(F.lit(1), F.size(c) - span), one)).otherwise(F.array().cast("array<string>"))
+def last_matches(text: Column, k: int, stride: int = 1) -> Column:
+    """struct(n_places, n_matched, sum_gap): places of k characters (every stride-th), those seen before, and how far back in all."""
+    arrow = pa.struct([("n_places", pa.int64()), ("n_matched", pa.int64()), ("sum_gap", pa.int64())])
 
-    return T.bound(T.chars(text), of)
+    def one(t: str) -> dict:
+        prev = last_places(gram_ids(codes(t), k, stride))
+        hit = np.flatnonzero(prev >= 0)
+        return {"n_places": len(prev), "n_matched": len(hit), "sum_gap": int((hit - prev[hit]).sum())}
 
+    return _per_text(text, MATCHED, arrow, one)
 
-def last_matches(docs: DataFrame, grams: Column, id_col: str = "doc_id", keep: tuple[str, ...] = ()) -> DataFrame:
-    """id, pos, prev: for each place the latest earlier one with the same gram, or null."""
-    rows = docs.select(id_col, *keep, F.posexplode(grams).alias("pos", "gram"))
-    w = Window.partitionBy(id_col, "gram").orderBy("pos")
-    return rows.select(id_col, *keep, "pos", F.lag("pos").over(w).alias("prev"))
 
+def match_runs(text: Column, k: int, recover: int = 1) -> Column:
+    """struct(n_runs, length, gap, start) of matches on one distance that follow each other, over at most `recover` places that do not match.
 
-def match_runs(matches: DataFrame, k: int, recover: int = 1, id_col: str = "doc_id") -> DataFrame:
-    """id, gap, start, length: matches on one distance that follow each other, over at most `recover` places that do not match."""
-    hit = matches.where("prev is not null").withColumn("gap", F.col("pos") - F.col("prev"))
-    w = Window.partitionBy(id_col, "gap").orderBy("pos")
-    hit = hit.withColumn("__new", F.when(F.col("pos") - F.lag("pos").over(w) <= 1 + recover, 0).otherwise(1))
-    hit = hit.withColumn("__run", F.sum("__new").over(w))
-    return hit.groupBy(id_col, "gap", "__run").agg(F.min("pos").alias("start"), (F.max("pos") - F.min("pos") + k).alias("length")).drop("__run")
+    The longest run; ties go to the smallest gap, then the earliest. Null without a match.
+    """
+    arrow = pa.struct([("n_runs", pa.int64()), ("length", pa.int32()), ("gap", pa.int32()), ("start", pa.int32())])
+
+    def one(t: str) -> dict | None:
+        prev = last_places(gram_ids(codes(t), k))
+        pos = np.flatnonzero(prev >= 0)
+        if not len(pos):
+            return None
+        gap = pos - prev[pos]
+        by = np.lexsort((pos, gap))
+        pos, gap = pos[by], gap[by]
+        first = np.flatnonzero(np.concatenate(([True], (gap[1:] != gap[:-1]) | (pos[1:] - pos[:-1] > 1 + recover))))
+        last = np.append(first[1:], len(pos)) - 1
+        length = pos[last] - pos[first] + k
+        best = np.lexsort((pos[first], gap[first], -length))[0]
+        return {"n_runs": len(first), "length": int(length[best]), "gap": int(gap[first[best]]), "start": int(pos[first[best]])}
+
+    return _per_text(text, RUNS, arrow, one)
+
+
+def seen_within(text: Column, window: int) -> Column:
+    """struct(n, seen, most): over the places, how often a character occurred among the window before it, summed and at most."""
+    arrow = pa.struct([("n", pa.int64()), ("seen", pa.int64()), ("most", pa.int64())])
+
+    def one(t: str) -> dict | None:
+        c = codes(t)
+        if not len(c):
+            return None
+        _, place = dense(c)
+        order = np.argsort(place, kind="stable")
+        base = place[order] * len(c)
+        key = base + order
+        seen = np.arange(len(c)) - np.searchsorted(key, np.maximum(base, key - window))
+        return {"n": len(c), "seen": int(seen.sum()), "most": int(seen.max())}
+
+    return _per_text(text, SEEN, arrow, one)
 
 
 def lag_similarity(text: Column, most: int) -> Column:
     """Mean circular distance of code points (modulo 256) at each lag from 1 to most, rounded; null where the text is not longer."""
 
-    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        for texts in batches:
-            out = []
-            for t in texts.to_pylist():
-                x = (np.frombuffer((t or "").encode("utf-32-le"), "<u4") % 256).astype(np.int16)
-                row = []
-                for d in range(1, most + 1):
-                    a = np.abs(x[d:] - x[:-d])
-                    row.append(math.floor(int(np.minimum(a, 256 - a).sum(dtype=np.int64)) / len(a) * 1e6 + 0.5) / 1e6 if len(a) else None)
-                out.append(row)
-            yield pa.array(out, pa.list_(pa.float64()))
-
-    return F.arrow_udf(run, "array<double>")(text)
-
-
-def period_votes(content: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """period, votes: four equal gaps between occurrences of one character; the fourth counts up to 32, two more up to 10."""
-    rows = content.select(id_col, F.posexplode(T.chars(F.col(text_col))).alias("pos", "c"))
-    w = Window.partitionBy(id_col, "c").orderBy("pos")
-    back = [F.lag("pos", k).over(w) for k in range(1, 8)]
-    gaps = rows.select(id_col, "pos", *[(F.col("pos") - b).alias(f"b{k + 1}") for k, b in enumerate(back)])
-    r = F.col("b1")
-    even = (r > 1) & (F.col("b2") == 2 * r) & (F.col("b3") == 3 * r)
-    even = even & ((r > 32) | (F.col("b4") == 4 * r))
-    even = even & ((r > 10) | ((F.col("b5") == 5 * r) & (F.col("b6") == 6 * r)))
-    return gaps.where(even).groupBy(r.alias("period")).agg(F.count("*").alias("votes"))
+    def one(t: str) -> list:
+        x, row = (codes(t) % 256).astype(np.int16), []
+        for d in range(1, most + 1):
+            a = np.abs(x[d:] - x[:-d])
+            row.append(math.floor(int(np.minimum(a, 256 - a).sum(dtype=np.int64)) / len(a) * 1e6 + 0.5) / 1e6 if len(a) else None)
+        return row
+
+    return _per_text(text, "array<double>", pa.list_(pa.float64()), one)
+
+
+def period_votes(text: Column) -> Column:
+    """(period, votes): four equal gaps between occurrences of one character; the fourth counts up to 32, two more up to 10."""
+
+    def one(t: str) -> list[dict]:
+        _, place = dense(codes(t))
+        order = np.argsort(place, kind="stable")
+        symbol, n = place[order], len(order)
+        back = []
+        for k in range(1, 7):
+            gap = np.full(n, -1, np.int64)
+            if n > k:
+                gap[k:] = np.where(symbol[k:] == symbol[:-k], order[k:] - order[:-k], -1)
+            back.append(gap)
+        r = back[0]
+        even = (r > 1) & (back[1] == 2 * r) & (back[2] == 3 * r) & ((r > 32) | (back[3] == 4 * r))
+        even &= (r > 10) | ((back[4] == 5 * r) & (back[5] == 6 * r))
+        return [{"period": int(p), "votes": int(v)} for p, v in zip(*np.unique(r[even], return_counts=True), strict=True)]
+
+    return _per_text(text, VOTES, pa.list_(pa.struct([("period", pa.int32()), ("votes", pa.int64())])), one)
 
 
 def first_difference(a: Column, b: Column) -> Column:

@@ -38,8 +38,25 @@ def ema(df: DataFrame, keys: list[str], order: str, value: str, rates: dict[str,
     return per.select(*keys, F.aggregate("__m", F.lit(0).cast("bigint"), lambda s, m: s + m["n"]).alias("n"), *[F.round(whole(k, r), 6).alias(k) for k, r in rates.items()])
 
 
+def lagged(df: DataFrame, keys: list[str], order: str, value: str, k: int, chunk: int = CHUNK) -> DataFrame:
+    """df with lag1 .. lagk of value, by keys in the order of a long column: within chunks, and from the ends of the chunks before."""
+    rows = df.withColumn("__chunk", F.floor(F.col(order) / chunk))
+    by = [*keys, "__chunk"]
+    w = Window.partitionBy(*by).orderBy(order)
+    rows = rows.withColumns({"__at": F.row_number().over(w)} | {f"__in{j}": F.lag(value, j).over(w) for j in range(1, k + 1)})
+    items = F.sort_array(F.collect_list(F.struct(order, F.col(value).alias("x"))))  # a chunk's rows, at most
+    ends = df.withColumn("__chunk", F.floor(F.col(order) / chunk)).groupBy(*by).agg(F.transform(F.slice(items, -F.least(F.lit(k), F.size(items)), k), lambda s: s["x"]).alias("__end"))
+    # k chunks have k rows at least
+    before = Window.partitionBy(*keys).orderBy("__chunk").rowsBetween(-k, -1)
+    carried = ends.select(*by, F.reverse(F.flatten(F.collect_list("__end").over(before))).alias("__carry"))
+    out = rows.join(carried, by)
+    lags = [F.when(F.col("__at") > j, F.col(f"__in{j}")).otherwise(F.get("__carry", F.lit(j) - F.col("__at"))).alias(f"lag{j}") for j in range(1, k + 1)]
+    return out.select(*df.columns, *lags)
+
+
 def islands(df: DataFrame, keys: list[str], order: str, value: str) -> DataFrame:
-    """Runs of one value within keys: keys, value, length."""
-    w = Window.partitionBy(*keys).orderBy(order)
-    marked = df.withColumn("__new", F.when(F.lag(value).over(w) == F.col(value), 0).otherwise(1))
-    return marked.withColumn("__run", F.sum("__new").over(w)).groupBy(*keys, "__run", value).agg(F.count("*").alias("length")).drop("__run")
+    """Runs of one value within keys: keys, value, length. Runs are numbered by a running sum in two levels."""
+    rows = lagged(df.select(*keys, order, value), keys, order, value, 1)
+    new = F.when(F.col("lag1") == F.col(value), 0).otherwise(1)
+    rows = running(rows.withColumn("__new", new), keys, order, {"__before": F.col("__new")})
+    return rows.groupBy(*keys, (F.col("__before") + F.col("__new")).alias("__run"), value).agg(F.count("*").alias("length")).drop("__run")

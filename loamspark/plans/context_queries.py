@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import maths as M
 from ..functions import text as T
+from ..operators import counting as C
 from ..operators import entropy as E
 from ..operators import repeats as R
 from ..operators import sequences as S
@@ -16,47 +17,49 @@ from .text_queries import FOLD, WORDS, _pairs, docs
 
 def order_entropy(order: int, key: str):
     def query(spark: SparkSession, sf: str) -> DataFrame:
-        counts = E.symbol_counts(docs(spark, sf, key, "text"), [key], T.grams(F.col("text"), order))
+        counts = C.gram_counts(docs(spark, sf, key, "text"), [key], "text", order)
         return E.conditional(counts.select(key, F.left("g", F.lit(order)).alias("ctx"), "n"), [key], ["ctx"])
 
     return query
 
 
+HIGHEST = 6
+
+
 def order_ladder(spark: SparkSession, sf: str) -> DataFrame:
-    """Orders 4 to 0 from one count."""
-    return E.ladder(E.symbol_counts(docs(spark, sf, "lang", "text"), ["lang"], T.grams(F.col("text"), 4)), ["lang"], 4)
+    """Orders 6 to 0 from one count."""
+    return E.ladder(C.gram_counts(docs(spark, sf, "lang", "text"), ["lang"], "text", HIGHEST), ["lang"], HIGHEST)
 
 
 def skip_contexts(spark: SparkSession, sf: str) -> DataFrame:
     """The character given the two before the last one."""
-    counts = E.symbol_counts(docs(spark, sf, "lang", "text"), ["lang"], T.grams(F.col("text"), 3))
+    counts = C.gram_counts(docs(spark, sf, "lang", "text"), ["lang"], "text", 3)
     skipped = counts.groupBy("lang", F.left("g", F.lit(2)).alias("ctx"), F.right("g", F.lit(1)).alias("c")).agg(F.sum("n").alias("n"))
     return E.conditional(skipped, ["lang"], ["ctx"])
 
 
 def char_group_contexts(spark: SparkSession, sf: str) -> DataFrame:
     """The character given the shape of the five before it: grams are counted first, then grouped by shape."""
-    counts = E.symbol_counts(docs(spark, sf, "lang", "text"), ["lang"], T.grams(F.col("text"), 5))
+    counts = C.gram_counts(docs(spark, sf, "lang", "text"), ["lang"], "text", 5)
     shaped = counts.groupBy("lang", T.shape(F.left("g", F.lit(5))).alias("ctx"), F.right("g", F.lit(1)).alias("c")).agg(F.sum("n").alias("n"))
     return E.conditional(shaped, ["lang"], ["ctx"])
 
 
 def chart_contexts(spark: SparkSession, sf: str) -> DataFrame:
     """Words given the last two letters of the word before and its initial: class slots of the history."""
-    pairs = docs(spark, sf, "text").select(F.explode(T.pairs(T.words(F.col("text")))).alias("p")).groupBy("p.a", "p.b").agg(F.count("*").alias("n"))
+    pairs = C.pair_counts(docs(spark, sf, "text"), [], "text")
     slots = pairs.groupBy(F.left("a", F.lit(1)).alias("initial"), F.right("a", F.lit(2)).alias("ending"), "b").agg(F.sum("n").alias("n"))
     return E.conditional(slots, [], ["initial", "ending"])
 
 
 def word_contexts(spark: SparkSession, sf: str) -> DataFrame:
     """Bits a word, given the word before."""
-    pairs = docs(spark, sf, "lang", "text").select("lang", F.explode(T.pairs(T.words(F.col("text")))).alias("p"))
-    return E.conditional(pairs.groupBy("lang", "p.a", "p.b").agg(F.count("*").alias("n")), ["lang"], ["a"])
+    return E.conditional(C.pair_counts(docs(spark, sf, "lang", "text"), ["lang"], "text"), ["lang"], ["a"])
 
 
 def text_contexts(spark: SparkSession, sf: str) -> DataFrame:
     """Bits of a word's initial under several contexts of the word before: whole, ending, length. One count of word pairs serves all."""
-    pairs = docs(spark, sf, "text").select(F.explode(T.pairs(T.words(F.col("text")))).alias("p")).groupBy("p.a", F.left("p.b", F.lit(1)).alias("c")).agg(F.count("*").alias("n"))
+    pairs = C.pair_counts(docs(spark, sf, "text"), [], "text").groupBy("a", F.left("b", F.lit(1)).alias("c")).agg(F.sum("n").alias("n"))
     ctx = F.array(F.struct(F.lit("word").alias("kind"), F.col("a").alias("ctx")), F.struct(F.lit("ending").alias("kind"), F.right("a", F.lit(2)).alias("ctx")), F.struct(F.lit("length").alias("kind"), F.length("a").cast("string").alias("ctx")))
     rows = pairs.select(F.explode(ctx).alias("k"), "c", "n").groupBy("k.kind", "k.ctx", "c").agg(F.sum("n").alias("n"))
     return E.conditional(rows, ["kind"], ["ctx"])
@@ -64,14 +67,13 @@ def text_contexts(spark: SparkSession, sf: str) -> DataFrame:
 
 def context_history(spark: SparkSession, sf: str) -> DataFrame:
     """For each two-character context: its occurrences, symbols and the most frequent next symbol (then the first)."""
-    n = E.symbol_counts(docs(spark, sf, "text"), [], T.grams(F.col("text"), 2))
+    n = C.gram_counts(docs(spark, sf, "text"), [], "text", 2)
     return n.groupBy(F.left("g", F.lit(2)).alias("ctx")).agg(F.sum("n").alias("n_seen"), F.count("*").alias("n_symbols"), F.min(F.struct((-F.col("n")).alias("m"), F.right("g", F.lit(1)).alias("c")))["c"].alias("top"))
 
 
 def next_bit_probabilities(spark: SparkSession, sf: str) -> DataFrame:
-    """P(next bit) of the code points below 256, from their counts: a byte model read as a bit model."""
-    c = E.symbol_counts(docs(spark, sf, "lang", "text"), ["lang"], T.chars(F.col("text")), "c").select("lang", F.ascii("c").alias("b"), "n").where("b < 256")
-    return E.bit_probabilities(c, ["lang"])
+    """P(next bit) of the texts' UTF-8 bytes, from their counts: a byte model read as a bit model."""
+    return E.bit_probabilities(C.byte_counts(docs(spark, sf, "lang", "text"), ["lang"], "text"), ["lang"])
 
 
 def laplace_bit_prob(spark: SparkSession, sf: str) -> DataFrame:
@@ -79,27 +81,24 @@ def laplace_bit_prob(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def events(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "events").select("event_id", "user_id", "event_type", "value", F.to_date("ts").alias("day"))
+    return table(spark, sf, "events").select("event_id", "user_id", "event_type", "value")
 
 
 def event_type_markov(spark: SparkSession, sf: str) -> DataFrame:
-    """Types given the two before, within a user's day."""
-    w = Window.partitionBy("user_id", "day").orderBy("event_id")
-    rows = events(spark, sf).select("event_type", F.lag("event_type", 1).over(w).alias("last1"), F.lag("event_type", 2).over(w).alias("last2"))
-    return rows.groupBy("last2", "last1", "event_type").agg(F.count("*").alias("n"))
+    """Types given the two before in a user's history."""
+    rows = S.lagged(events(spark, sf), ["user_id"], "event_id", "event_type", 2)
+    return rows.groupBy(F.col("lag2").alias("last2"), F.col("lag1").alias("last1"), "event_type").agg(F.count("*").alias("n"))
 
 
 def event_run_lengths(spark: SparkSession, sf: str) -> DataFrame:
-    return S.islands(events(spark, sf), ["user_id", "day"], "event_id", "event_type").groupBy("event_type", "length").agg(F.count("*").alias("n"))
+    return S.islands(events(spark, sf), ["user_id"], "event_id", "event_type").groupBy("event_type", "length").agg(F.count("*").alias("n"))
 
 
 def indirect_history(spark: SparkSession, sf: str) -> DataFrame:
-    """The two symbols that followed a context the last two times, within a user's day, and what followed now."""
-    w = Window.partitionBy("user_id", "day").orderBy("event_id")
-    rows = events(spark, sf).select("*", F.lag("event_type").over(w).alias("ctx")).where("ctx is not null")
-    v = Window.partitionBy("user_id", "day", "ctx").orderBy("event_id")
-    rows = rows.select("ctx", F.lag("event_type", 1).over(v).alias("h1"), F.lag("event_type", 2).over(v).alias("h2"), "event_type")
-    return rows.groupBy("ctx", "h2", "h1", "event_type").agg(F.count("*").alias("n"))
+    """The two symbols that followed a context the last two times in a user's history, and what followed now."""
+    rows = S.lagged(events(spark, sf), ["user_id"], "event_id", "event_type", 1).withColumnRenamed("lag1", "ctx").where("ctx is not null")
+    rows = S.lagged(rows, ["user_id", "ctx"], "event_id", "event_type", 2)
+    return rows.groupBy("ctx", F.col("lag2").alias("h2"), F.col("lag1").alias("h1"), "event_type").agg(F.count("*").alias("n"))
 
 
 def high(spark: SparkSession, sf: str) -> DataFrame:
@@ -125,14 +124,16 @@ def fast_slow_estimates(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def loss_history(spark: SparkSession, sf: str) -> DataFrame:
-    """Mean cost of a user's last eight events of a day under the type's overall probability."""
+    """Mean cost of a user's last eight events under the type's overall probability."""
     e = events(spark, sf)
     n = e.groupBy("event_type").agg(F.count("*").alias("n"))
-    total = n.agg(F.sum("n").alias("total"))
-    p = n.join(F.broadcast(total)).select("event_type", M.cost(F.col("n") / F.col("total")).alias("bits"))
-    w = Window.partitionBy("user_id", "day").orderBy("event_id").rowsBetween(-7, 0)
-    rows = e.join(F.broadcast(p), "event_type").select("user_id", F.avg("bits").over(w).alias("loss"))
-    return rows.groupBy("user_id").agg(F.round(F.max("loss"), 6).alias("max_loss"), F.count("*").alias("n"))
+    total = n.agg(F.collect_list(F.struct("event_type", "n")).alias("all"))  # a row for each type of a fixed set
+    total = total.select(F.explode("all").alias("x"), F.aggregate("all", F.lit(0).cast("bigint"), lambda a, x: a + x["n"]).alias("total"))
+    p = total.select("x.event_type", M.cost(F.col("x.n") / F.col("total")).alias("bits"))
+    rows = S.lagged(e.join(p, "event_type"), ["user_id"], "event_id", "bits", 7)
+    last = F.array_compact(F.array("bits", *[f"lag{k}" for k in range(1, 8)]))
+    loss = F.aggregate(last, F.lit(0.0), lambda a, x: a + x) / F.size(last)
+    return rows.groupBy("user_id").agg(F.round(F.max(loss), 6).alias("max_loss"), F.count("*").alias("n"))
 
 
 def residual_histogram(spark: SparkSession, sf: str) -> DataFrame:
@@ -148,21 +149,22 @@ def residual_histogram(spark: SparkSession, sf: str) -> DataFrame:
 def column_extrapolation(spark: SparkSession, sf: str) -> DataFrame:
     """Mean absolute residuals of N, 2N-NN and 3N-3NN+NNN on price and quantity of an order's lines."""
     w = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice")
-    out = None
-    for name in ("l_quantity", "l_extendedprice"):
-        c = F.col(name)
-        n1, n2, n3 = (F.lag(c, k).over(w) for k in (1, 2, 3))
-        r = table(spark, sf, "lineitem").select((c - n1).alias("r1"), (c - 2 * n1 + n2).alias("r2"), (c - 3 * n1 + 3 * n2 - n3).alias("r3"))
-        part = r.agg(F.lit(name).alias("name"), *[F.round(F.avg(F.abs(f"r{k}")), 4).alias(f"order{k}") for k in (1, 2, 3)], F.count("r3").alias("n"))
-        out = part if out is None else out.unionByName(part)
-    return out
+    names = ("l_quantity", "l_extendedprice")
+
+    def residuals(name: str) -> list:
+        c, (n1, n2, n3) = F.col(name), (F.lag(name, k).over(w) for k in (1, 2, 3))
+        return [(c - n1).alias(f"{name}1"), (c - 2 * n1 + n2).alias(f"{name}2"), (c - 3 * n1 + 3 * n2 - n3).alias(f"{name}3")]
+
+    rows = table(spark, sf, "lineitem").select(*[r for name in names for r in residuals(name)])
+    total = rows.agg(*[F.round(F.avg(F.abs(f"{name}{k}")), 4).alias(f"{name}{k}") for name in names for k in (1, 2, 3)], *[F.count(f"{name}3").alias(f"{name}n") for name in names])
+    each = F.array(*[F.struct(F.lit(name).alias("name"), *[F.col(f"{name}{k}").alias(f"order{k}") for k in (1, 2, 3)], F.col(f"{name}n").alias("n")) for name in names])
+    return total.select(F.inline(each))
 
 
 def sliding_histogram(spark: SparkSession, sf: str) -> DataFrame:
     """How often a character occurred among the 256 before it, by language: mean."""
-    rows = docs(spark, sf, "doc_id", "lang", "text").select("doc_id", "lang", F.posexplode(T.chars(F.col("text"))).alias("pos", "c"))
-    w = Window.partitionBy("doc_id", "c").orderBy("pos").rangeBetween(-256, -1)
-    return rows.select("lang", F.count("*").over(w).alias("seen")).groupBy("lang").agg(F.round(F.avg("seen"), 6).alias("mean_seen"), F.max("seen").alias("max_seen"))
+    rows = docs(spark, sf, "lang", "text").select("lang", R.seen_within(F.col("text"), 256).alias("s")).where("s is not null")
+    return rows.groupBy("lang").agg(F.round(F.sum("s.seen") / F.sum("s.n"), 6).alias("mean_seen"), F.max("s.most").alias("max_seen"))
 
 
 def calibration_bins(spark: SparkSession, sf: str) -> DataFrame:
@@ -210,26 +212,23 @@ K = 9
 
 
 def last_match_kgram(spark: SparkSession, sf: str) -> DataFrame:
-    m = R.last_matches(docs(spark, sf, "doc_id", "lang", "text"), R.k_grams(F.col("text"), K), keep=("lang",))
-    return m.groupBy("lang").agg(F.count("*").alias("n_places"), F.count("prev").alias("n_matched"), F.sum(F.col("pos") - F.col("prev")).cast("bigint").alias("sum_gap"))
+    m = docs(spark, sf, "lang", "text").select("lang", R.last_matches(F.col("text"), K).alias("m")).where("m.n_places > 0")
+    return m.groupBy("lang").agg(*[F.sum(f"m.{c}").alias(c) for c in ("n_places", "n_matched", "sum_gap")])
 
 
 def match_runs(spark: SparkSession, sf: str) -> DataFrame:
     """The longest repeated passage of each document; ties go to the most recent (the smallest gap), then the earliest."""
-    runs = R.match_runs(R.last_matches(docs(spark, sf, "doc_id", "text"), R.k_grams(F.col("text"), K)), K)
-    best = F.min(F.struct((-F.col("length")).alias("m"), "gap", "start"))
-    return runs.groupBy("doc_id").agg(F.count("*").alias("n_runs"), best.alias("b")).select("doc_id", "n_runs", (-F.col("b.m")).alias("length"), "b.gap", "b.start")
+    return docs(spark, sf, "doc_id", "text").select("doc_id", R.match_runs(F.col("text"), K).alias("r")).where("r is not null").select("doc_id", "r.*")
 
 
 def masked_matches(spark: SparkSession, sf: str) -> DataFrame:
-    """Matches under four views: folded case, plain, every second character, character classes only."""
+    """Matches under four views: folded case, plain, every second character, character classes only. One pass over the texts."""
     t = F.col("text")
-    views = {"folded": R.k_grams(T.fold(t), 5), "plain": R.k_grams(t, 4), "stride2": R.k_grams(T.fold(t), 5, 2), "classes": R.k_grams(F.regexp_replace(F.regexp_replace(T.fold(t), "[a-z]", "a"), "[0-9]", "0"), 12)}
-    out = None
-    for name, g in views.items():
-        m = R.last_matches(docs(spark, sf, "doc_id", "text"), g).agg(F.lit(name).alias("kind"), F.count("*").alias("n_places"), F.count("prev").alias("n_matched"), F.sum(F.col("pos") - F.col("prev")).cast("bigint").alias("sum_gap"))
-        out = m if out is None else out.unionByName(m)
-    return out
+    classes = F.regexp_replace(F.regexp_replace(T.fold(t), "[a-z]", "a"), "[0-9]", "0")
+    views = {"folded": R.last_matches(T.fold(t), 5), "plain": R.last_matches(t, 4), "stride2": R.last_matches(T.fold(t), 5, 2), "classes": R.last_matches(classes, 12)}
+    rows = docs(spark, sf, "text").select(*[m.alias(k) for k, m in views.items()])
+    each = rows.select(F.explode(F.array(*[F.struct(F.lit(k).alias("kind"), F.col(k).alias("m")) for k in views])).alias("e"))
+    return each.groupBy("e.kind").agg(*[F.sum(f"e.m.{c}").alias(c) for c in ("n_places", "n_matched", "sum_gap")])
 
 
 def lag_similarity_best(spark: SparkSession, sf: str) -> DataFrame:
@@ -251,7 +250,7 @@ def records(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def record_period_vote(spark: SparkSession, sf: str) -> DataFrame:
-    votes = R.period_votes(records(spark, sf), "file", "content")
+    votes = records(spark, sf).select(F.inline(R.period_votes(F.col("content")))).groupBy("period").agg(F.sum("votes").alias("votes"))
     return votes.orderBy(F.desc("votes"), "period").limit(5)
 
 
@@ -298,7 +297,7 @@ def _matches(text: str, k: int, stride: int = 1) -> str:
 (select doc_id, lang, i, c || {' || '.join(at)} as g from (select doc_id, lang, unnest(string_split({text}, '')) as c, generate_subscripts(string_split({text}, ''), 1) as i from documents where text != '') window w as (partition by doc_id order by i)) where g is not null)"""
 
 
-_EVENTS = "e as (select event_id, user_id, event_type, value, ts::date as day, (value > 50)::int as y from events)"
+_EVENTS = "e as (select event_id, user_id, event_type, value, (value > 50)::int as y from events)"
 _STRETCH = "greatest(-8, least(8, ln(p / (1 - p))))"
 _P = "x as (select quality, toxic, n_chars / (n_chars + 2000.0) as p from labels join documents using (doc_id))"
 _AGG = "count(*) as n_places, count(prev) as n_matched, sum(pos - prev)::bigint as sum_gap"
@@ -308,21 +307,21 @@ SQL = {
     "order0_entropy_by_lang": _conditional(_ones(_grams(0, "lang")), "lang", "ctx", "c"),
     "order1_entropy_by_lang": _conditional(_ones(_grams(1, "lang")), "lang", "ctx", "c"),
     "order2_entropy_by_source": _conditional(_ones(_grams(2, "source")), "source", "ctx", "c"),
-    "order_ladder": f"with g as materialized (select lang, ctx, c, count(*) as n from {_grams(4, 'lang')} group by all) " + " union all ".join(f"select lang, {k}::int as ctx_order, n_symbols, n_contexts, bits from ({_conditional(f'(select lang, right(ctx, {k}) as ctx, c, n from g)', 'lang', 'ctx', 'c')})" for k in range(5)),
+    "order_ladder": f"with g as materialized (select lang, ctx, c, count(*) as n from {_grams(HIGHEST, 'lang')} group by all) " + " union all ".join(f"select lang, {k}::int as ctx_order, n_symbols, n_contexts, bits from ({_conditional(f'(select lang, right(ctx, {k}) as ctx, c, n from g)', 'lang', 'ctx', 'c')})" for k in range(HIGHEST + 1)),
     "skip_contexts": _conditional(f"(select lang, left(ctx, 2) as ctx, c, 1 as n from {_grams(3, 'lang')})", "lang", "ctx", "c"),
     "char_group_contexts": _conditional(r"(select lang, regexp_replace(regexp_replace(regexp_replace(regexp_replace(ctx, '[a-z]+', 'a', 'g'), '[A-Z]+', 'A', 'g'), '[0-9]+', '0', 'g'), '[\x{80}-\x{10FFFF}]+', 'x', 'g') as ctx, c, n from " + f"(select lang, ctx, c, count(*) as n from {_grams(5, 'lang')} group by all))", "lang", "ctx", "c"),
     "chart_contexts": _conditional(f"(select left(a, 1) as initial, right(a, 2) as ending, b, n from ({_pairs(WORDS, 'documents')}))", "", "initial, ending", "b"),
     "word_contexts": _conditional(f"(select lang, p[1] as a, p[2] as b, 1 as n from (select lang, unnest(list_zip(w[1:len(w) - 1], w[2:])) as p from (select lang, {WORDS} as w from documents) where len(w) > 1))", "lang", "a", "b"),
     "text_contexts": f"with p as materialized ({_pairs(WORDS, 'documents')}) " + _conditional("(select 'word' as kind, a as ctx, left(b, 1) as c, n from p union all select 'ending', right(a, 2), left(b, 1), n from p union all select 'length', length(a)::varchar, left(b, 1), n from p)", "kind", "ctx", "c"),
     "context_history": f"select ctx, sum(n)::bigint as n_seen, count(*) as n_symbols, first(c order by n desc, c) as top from (select ctx, c, count(*) as n from {_grams(2, 'lang')} group by all) group by ctx",
-    "next_bit_probabilities": f"with c as (select lang, unicode(c) as b, count(*) as n from {_grams(0, 'lang')} group by all) select lang, bit::int as bit, ((b + 256) >> (8 - bit))::int as ctx, sum(n)::bigint as n, sum(n * ((b >> (7 - bit)) & 1))::bigint as n1, round(sum(n * ((b >> (7 - bit)) & 1)) / sum(n), 6) as p1 from c, range(8) t(bit) where b < 256 group by 1, 2, 3",
+    "next_bit_probabilities": "with h as (select lang, unnest(regexp_extract_all(hex(encode(text)), '..')) as h from documents), c as (select lang, ('0x' || h)::int as b, count(*) as n from h group by all) select lang, bit::int as bit, ((b + 256) >> (8 - bit))::int as ctx, sum(n)::bigint as n, sum(n * ((b >> (7 - bit)) & 1))::bigint as n1, round(sum(n * ((b >> (7 - bit)) & 1)) / sum(n), 6) as p1 from c, range(8) t(bit) group by 1, 2, 3",
     "laplace_bit_prob": "select quality, count(toxic) as n, sum(toxic)::bigint as n1, round((2 * sum(toxic) + 1) / (2 * count(toxic) + 2), 6) as p from labels group by 1",
-    "event_type_markov": f"with {_EVENTS} select last2, last1, event_type, count(*) as n from (select event_type, lag(event_type, 1) over w as last1, lag(event_type, 2) over w as last2 from e window w as (partition by user_id, day order by event_id)) group by all",
-    "event_run_lengths": f"with {_EVENTS}, m as (select *, row_number() over (partition by user_id, day order by event_id) - row_number() over (partition by user_id, day, event_type order by event_id) as run from e) select event_type, length, count(*) as n from (select user_id, day, event_type, run, count(*) as length from m group by all) group by all",
-    "indirect_history": f"with {_EVENTS}, c as (select *, lag(event_type) over (partition by user_id, day order by event_id) as ctx from e) select ctx, h2, h1, event_type, count(*) as n from (select ctx, lag(event_type, 1) over w as h1, lag(event_type, 2) over w as h2, event_type from c where ctx is not null window w as (partition by user_id, day, ctx order by event_id)) group by all",
+    "event_type_markov": f"with {_EVENTS} select last2, last1, event_type, count(*) as n from (select event_type, lag(event_type, 1) over w as last1, lag(event_type, 2) over w as last2 from e window w as (partition by user_id order by event_id)) group by all",
+    "event_run_lengths": f"with {_EVENTS}, m as (select *, row_number() over (partition by user_id order by event_id) - row_number() over (partition by user_id, event_type order by event_id) as run from e) select event_type, length, count(*) as n from (select user_id, event_type, run, count(*) as length from m group by all) group by all",
+    "indirect_history": f"with {_EVENTS}, c as (select *, lag(event_type) over (partition by user_id order by event_id) as ctx from e) select ctx, h2, h1, event_type, count(*) as n from (select ctx, lag(event_type, 1) over w as h1, lag(event_type, 2) over w as h2, event_type from c where ctx is not null window w as (partition by user_id, ctx order by event_id)) group by all",
     "bit_history_states": f"with {_EVENTS}, h as (select y, coalesce(sum(y) over w, 0) as n1, coalesce(sum(1 - y) over w, 0) as n0 from e window w as (partition by user_id order by event_id rows between unbounded preceding and 1 preceding)) select least(7, n0)::bigint as n0, least(7, h.n1)::bigint as n1, count(y) as n, round((2 * sum(y) + 1) / (2 * count(y) + 2), 6) as p from h group by 1, 2",
     "running_mean_error": f"with {_EVENTS}, h as (select event_type, y, (2 * coalesce(sum(y) over w, 0) + 1) / (2 * count(*) over w + 2) as p from e window w as (partition by user_id order by event_id rows between unbounded preceding and 1 preceding)) select event_type, count(*) as n_events, round(avg(-log2(case y when 1 then p else 1 - p end)), 6) as bits from h group by 1",
-    "loss_history": f"with {_EVENTS}, p as (select event_type, -log2(count(*) / (select count(*) from e)) as bits from e group by 1) select user_id, round(max(loss), 6) as max_loss, count(*) as n from (select user_id, avg(bits) over (partition by user_id, day order by event_id rows between 7 preceding and current row) as loss from e join p using (event_type)) group by 1",
+    "loss_history": f"with {_EVENTS}, p as (select event_type, -log2(count(*) / (select count(*) from e)) as bits from e group by 1) select user_id, round(max(loss), 6) as max_loss, count(*) as n from (select user_id, avg(bits) over (partition by user_id order by event_id rows between 7 preceding and current row) as loss from e join p using (event_type)) group by 1",
     "fast_slow_estimates": f"with {_EVENTS}, r as (select user_id, y, row_number() over (partition by user_id order by event_id desc) - 1 as age from e) select user_id, count(*) as n, round(sum(y / 64.0::double * pow(1 - 1 / 64.0::double, age)), 6) as slow, round(sum(y / 16.0::double * pow(1 - 1 / 16.0::double, age)), 6) as fast from r group by 1",
     "residual_histogram": "with r as (select l_returnflag, l_quantity - (2 * lag(l_quantity, 1) over w - lag(l_quantity, 2) over w) as r from lineitem window w as (partition by l_orderkey order by l_linenumber, l_partkey, l_suppkey, l_extendedprice)), b as (select l_returnflag, floor(r / 10)::bigint as bin, count(*) as n from r where r is not null group by 1, 2) select *, round(sum(n) over (partition by l_returnflag order by bin) / sum(n) over (partition by l_returnflag), 6) as cdf from b",
     "column_extrapolation": " union all ".join(f"select '{c}' as name, round(avg(abs({c} - n1)), 4) as order1, round(avg(abs({c} - 2 * n1 + n2)), 4) as order2, round(avg(abs({c} - 3 * n1 + 3 * n2 - n3)), 4) as order3, count(n3) as n from (select {c}, lag({c}, 1) over w as n1, lag({c}, 2) over w as n2, lag({c}, 3) over w as n3 from lineitem window w as (partition by l_orderkey order by l_linenumber, l_partkey, l_suppkey, l_extendedprice))" for c in ("l_quantity", "l_extendedprice")),

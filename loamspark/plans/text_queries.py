@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import maths as M
 from ..functions import text as T
+from ..operators import counting as C
 from ..operators import entropy as E
 from ..sources.tables import table
 
@@ -21,7 +22,7 @@ def docs(spark: SparkSession, sf: str, *cols: str) -> DataFrame:
 
 
 def token_counts(spark: SparkSession, sf: str) -> DataFrame:
-    n = E.symbol_counts(docs(spark, sf, "lang", "text"), ["lang"], T.words(F.col("text")), "word")
+    n = C.word_counts(docs(spark, sf, "lang", "text"), ["lang"], "text")
     return n.groupBy("lang").agg(F.sum("n").alias("n_tokens"), F.count("*").alias("n_words"), F.sum(F.col("n") * F.length("word")).alias("n_letters"))
 
 
@@ -31,8 +32,7 @@ def token_len_hist(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def word_bigrams_topk(spark: SparkSession, sf: str) -> DataFrame:
-    rows = docs(spark, sf, "text").select(F.explode(T.pairs(T.words(F.col("text")))).alias("p")).groupBy("p.a", "p.b").agg(F.count("*").alias("n"))
-    return rows.orderBy(F.desc("n"), "a", "b").limit(20)
+    return C.pair_counts(docs(spark, sf, "text"), [], "text").orderBy(F.desc("n"), "a", "b").limit(20)
 
 
 def alnum_tokens(spark: SparkSession, sf: str) -> DataFrame:
@@ -192,7 +192,7 @@ def utf8_validity(spark: SparkSession, sf: str) -> DataFrame:
 
 def affix_counts(spark: SparkSession, sf: str) -> DataFrame:
     """Words of a language that are longer than a suffix or prefix they have."""
-    n = E.symbol_counts(docs(spark, sf, "lang", "text"), ["lang"], T.words(F.col("text")), "word")
+    n = C.word_counts(docs(spark, sf, "lang", "text"), ["lang"], "text")
     parts = {"end_ing": T.ends_within(F.col("word"), "ing"), "end_ion": T.ends_within(F.col("word"), "ion"), "start_th": T.starts_within(F.col("word"), "th")}
     return n.groupBy("lang").agg(*[F.sum(F.when(c, F.col("n")).otherwise(0)).alias(k) for k, c in parts.items()])
 
@@ -206,14 +206,14 @@ def dictionary(spark: SparkSession, sf: str) -> DataFrame:
 
 def embedding_lookup(spark: SparkSession, sf: str) -> DataFrame:
     """Words are counted first, so each is looked up once; how the join runs is left to the optimizer, by size."""
-    n = E.symbol_counts(docs(spark, sf, "lang", "text"), ["lang"], T.words(F.col("text")), "word")
+    n = C.word_counts(docs(spark, sf, "lang", "text"), ["lang"], "text")
     rows = n.join(dictionary(spark, sf), "word", "left")
     return rows.groupBy("lang").agg(F.sum(F.when(F.col("e").isNotNull(), F.col("n")).otherwise(0)).alias("n_found"), F.sum(F.when(F.col("e").isNull(), F.col("n")).otherwise(0)).alias("n_missing"), F.sum(F.coalesce(F.get("e", F.lit(1)), F.lit(0)) * F.col("n")).alias("sum_first"))
 
 
 def embedding_pairs(spark: SparkSession, sf: str) -> DataFrame:
     """Word bigrams by the distance of their vectors (whole root), with sums of the vectors' first bytes modulo 256."""
-    pairs = docs(spark, sf, "text").select(F.explode(T.pairs(T.words(F.col("text")))).alias("p")).groupBy("p.a", "p.b").agg(F.count("*").alias("n"))
+    pairs = C.pair_counts(docs(spark, sf, "text"), [], "text")
     d = dictionary(spark, sf)
     rows = pairs.join(d.select(F.col("word").alias("a"), F.col("e").alias("ea")), "a").join(d.select(F.col("word").alias("b"), F.col("e").alias("eb")), "b")
     square = F.aggregate(F.zip_with("ea", "eb", lambda x, y: (x - y) * (x - y)), F.lit(0), lambda s, x: s + x)
