@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import codecs as C
 from ..operators import learn, segment
 from ..sources.tables import manifest, table
-from ..streaming.counts import stream_context_counts, stream_hourly
+from ..streaming.counts import batch_sessions, stream_context_counts, stream_hopping, stream_hourly
 from .text_queries import docs
 
 
@@ -62,7 +62,7 @@ def ols_online(spark: SparkSession, sf: str) -> DataFrame:
     return blocked(spark, sf).groupBy("block").applyInPandas(learn.online_fit, "block bigint, n bigint, error double")
 
 
-QUERIES = {f.__name__: f for f in (eol_roundtrip, base64_roundtrip, codec_roundtrip, segment_blocks, block_type_predicates, manifest_paths, mixer_loss, ols_online, stream_context_counts, stream_hourly)}
+QUERIES = {f.__name__: f for f in (eol_roundtrip, base64_roundtrip, codec_roundtrip, segment_blocks, block_type_predicates, manifest_paths, mixer_loss, ols_online, stream_context_counts, stream_hourly, stream_hopping, batch_sessions)}
 
 _listed = lambda names: ", ".join(f"'{t}'" for t in names)
 SQL = {
@@ -71,5 +71,7 @@ SQL = {
     "block_type_predicates": f"select i::int as code, t as type, t in ({_listed(segment.RECURSIVE)}) as recursive, t in ({_listed(segment.WITH_INFO)}) as with_info, t in ({_listed(segment.TEXTS)}) as is_text from (select unnest([{_listed(segment.TYPES)}]) as t, unnest(range({len(segment.TYPES)})) as i)",
     "manifest_paths": "select page_id as n, p as path from (select page_id, regexp_replace(url, '^https:/|^http://', '') as p from pages) where page_id > 0 and p != '' and p not like '/%'",
     "stream_context_counts": "select event_type, count(*) as n, sum((value > 50)::int)::bigint as n1 from events group by 1",
+    "stream_hopping": "select time_bucket(interval '2 hours', ts) - k * interval '2 hours' as start, event_type, count(*) as n from events, range(3) t(k) group by 1, 2",
+    "batch_sessions": "with m as (select user_id, ts, case when ts - lag(ts) over w < interval '6 hours' then 0 else 1 end as new from events window w as (partition by user_id order by ts)), s as (select user_id, sum(new) over (partition by user_id order by ts rows unbounded preceding) as k from m) select n as n_events, count(*) as n_sessions from (select user_id, k, count(*) as n from s group by 1, 2) group by 1",
     "stream_hourly": "select date_trunc('hour', ts) as hour, event_type, count(*) as n from events group by 1, 2",
 }

@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import block_queries, context_queries, text_queries
+from . import block_queries, context_queries, stem_queries, text_queries
 
 Query = Callable[[SparkSession, str], DataFrame]
-MODULES = (text_queries, context_queries, block_queries)
+MODULES = (text_queries, context_queries, stem_queries, block_queries)
 
 
 def queries() -> dict[str, Query]:
