@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import functools
 import tempfile
 import uuid
 from collections.abc import Callable, Iterable
@@ -69,6 +70,21 @@ def forget(*tables: DataFrame) -> None:
         _delete(getattr(t, "stored_at", ""))
 
 
+def shielded(operator: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
+    """An operator whose own columns begin with two underscores, for tables with any column names: such ones are renamed meanwhile."""
+
+    @functools.wraps(operator)
+    def run(docs: DataFrame, *args, **named) -> DataFrame:
+        other = {c: f"column {k} {c.lstrip('_')}" for k, c in enumerate(docs.columns) if c.startswith("__")}
+        if not other:
+            return operator(docs, *args, **named)
+        told = lambda x: other.get(x, x) if isinstance(x, str) else x
+        out = operator(docs.withColumnsRenamed(other), *map(told, args), **{k: told(x) for k, x in named.items()})
+        return out.withColumnsRenamed({v: k for k, v in other.items()})
+
+    return run
+
+
 def bounded_batches(spark: SparkSession) -> None:
     """Arrow batches are bounded by bytes too, so that long texts do not swell a Python worker."""
     key = "spark.sql.execution.arrow.maxBytesPerBatch"

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import attach, bounded_batches, forget, row_salt, run_id, stored, table
+from .common import attach, bounded_batches, forget, row_salt, run_id, shielded, stored, table
 
 WINDOW, ITEMS = 8, 2
 BLOCK_BYTES = 16 << 20
@@ -263,6 +263,7 @@ def covered(found: Column) -> Column:
     return F.aggregate(spans, start, step)["n"]
 
 
+@shielded
 def decontaminate(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", window: int = WINDOW, items: int = ITEMS) -> DataFrame:
     """docs with n_words, n_hit, item_ids, matches (maximal verbatim ones, with places) and contaminated; these replace columns of that name."""
     out = scanned(docs, benchmark, text_col, window)

@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import attach, forget, run_id, sized, stored, table
+from .common import attach, forget, run_id, shielded, sized, stored, table
 
 SPACE = "[\\x20\\x09-\\x0D]+"
 FAN_IN = 16
@@ -68,6 +68,7 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     )
 
 
+@shielded
 def drop_exact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs, with its own columns, without the rows that exact_groups does not keep."""
     found = stored(exact_groups(docs, id_col, text_col).where("group_size > 1").select("doc_id", "chars", "text_hash", "kept"), "exact-groups")

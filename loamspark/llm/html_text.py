@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import attach, bounded_batches, row_salt, sized, stored, table
+from .common import attach, bounded_batches, row_salt, shielded, sized, stored, table
 
 #: Pages of a host that are aligned; parts of the varying text that a container holds, any and a marked one; pages that make a node template.
 SAMPLE, SHARE, MARKED, VOTES = 8, 0.75, 0.3, 3
@@ -523,6 +523,7 @@ def wrappers(pages: DataFrame, url_col: str = "url", html_col: str = "html") ->
     return stored(sample.groupBy("host").applyInPandas(learn, "host string, wrapper string").where("wrapper is not null"), "html-wrappers")
 
 
+@shielded
 def extracted(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
     """pages with text and n_chars instead of columns of that name, and without their html.
 

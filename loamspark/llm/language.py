@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, table
+from .common import bounded_batches, shielded, table
 
 TRAIN_DOCS, LANGS = 4_000, 200
 BUCKETS, SMOOTH, FLOOR = 1 << 16, 0.3, 1e-3
@@ -163,6 +163,7 @@ def identified(text: Column, model: Model) -> Column:
     return F.arrow_udf(run, FOUND)(text)
 
 
+@shielded
 def drop_unidentified(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """docs, with its own columns, without those that have no language: null texts and texts without a letter."""
     model = train(docs, id_col, text_col, lang_col)

@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bound, constant, table
+from .common import bound, constant, shielded, table
 from .license_texts import FRAMES, NAMES, PHRASES, PROSE, SUBJECTS, TEMPLATES
 
 UNKNOWN = "unknown"
@@ -208,6 +208,7 @@ def paragraphs(text: Column) -> Column:
 RESULT = ("n_paragraphs", "license_spans", "families", "family", "confirmed")
 
 
+@shielded
 def licenses(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """docs with n_paragraphs, license_spans (paragraph number, family, probability, confirmed), families, family, confirmed."""
     rows = docs.withColumn("__lines", paragraphs(F.coalesce(F.col(text_col), F.lit(""))))

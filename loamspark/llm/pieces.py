@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, table
+from .common import bounded_batches, shielded, table
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
@@ -483,6 +483,7 @@ def round_trip(text: Column, model: Pieces) -> Column:
     return F.arrow_udf(run, "struct<ids:array<int>,exact:boolean>")(text)
 
 
+@shielded
 def tokenized(docs: DataFrame, text_col: str = "text", path: str = MODEL) -> DataFrame:
     """docs without its text, with ids, n_tokens and exact."""
     bounded_batches(docs.sparkSession)

@@ -23,7 +23,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bound, forget, running, stored, table
+from .common import bound, forget, running, shielded, stored, table
 
 
 @dataclass(frozen=True)
@@ -259,6 +259,7 @@ def _could(text: Column, rule: Rule) -> Column:
     return text.rlike(rule.pattern)
 
 
+@shielded
 def secrets(docs: DataFrame, text_col: str = "text", rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """docs with secret_spans: array of (start, rank, kind, end) in their order; replaces a column of that name."""
     text = F.coalesce(F.col(text_col), F.lit(""))

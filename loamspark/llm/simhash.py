@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import attach, bounded_batches, components, forget, run_id, sized, stored, table
+from .common import attach, bounded_batches, components, forget, run_id, shielded, sized, stored, table
 
 SHINGLE, SEED, BITS, MOST = 3, 42, 64, 2
 PIVOTS, BLOCKS, BUCKET = 12, 4, 32
@@ -149,6 +149,7 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     return out
 
 
+@shielded
 def drop_near(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs, with its own columns, with one document of each component: that of the smallest doc_id.
 

@@ -28,7 +28,7 @@ from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bound, constant, table
+from .common import bound, constant, shielded, table
 
 
 @dataclass(frozen=True)
@@ -175,6 +175,7 @@ def fires(tok: Column, mined: Mined) -> Column:
     return bound(F.filter(F.transform(tok, look), lambda k: k > 0), best)
 
 
+@shielded
 def filtered(pages: DataFrame, url_col: str = "url", rules: tuple[Fixed, ...] = FIXED, sample: int = SAMPLE, default: str = DEFAULT) -> DataFrame:
     """pages with host, path, rule, verdict; these replace columns of that name."""
     u = F.col(url_col)
