@@ -21,10 +21,89 @@ def test_codecs_are_reversible(name, raw):
     assert decode(encode(b"z" * 1000)) == b"z" * 1000
 
 
-def test_inflate_finds_the_level():
+@pytest.mark.parametrize("level", range(1, 10))
+@pytest.mark.parametrize("memory", (1, 5, 9))
+def test_streams_are_made_again(level, memory):
+    raw = b"some text and some more " * 300 + bytes(range(256)) * 3
+    for bits in (15, 10, -15):
+        c = zlib.compressobj(level, zlib.DEFLATED, bits, memory)
+        stream = c.compress(raw) + c.flush()
+        got = C.inflate(stream, bits if bits < 0 else None)
+        assert got[0] == raw and not got[3]
+        assert C.deflate(*got, bits) == stream
+
+
+def test_streams_that_differ_a_little():
     raw = b"some text " * 300
-    assert C.inflate(zlib.compress(raw, 9))[0] == raw
-    assert C.inflate(b"no stream") is None
+    stream = bytearray(zlib.compress(raw, 9))
+    stream[1] ^= 0  # the header as it is; a changed checksum would not inflate
+    assert C.inflate(bytes(stream))[0] == raw
+    assert C.inflate(b"no stream") is None and C.inflate(bytes(stream[:-3])) is None and C.inflate(b"") is None
+
+
+def test_bombs_do_not_inflate(monkeypatch):
+    monkeypatch.setattr(C, "INFLATED", 1 << 20)
+    bomb = zlib.compress(bytes(1 << 24), 9)
+    assert C.inflated(bomb) is None
+    assert [b[0] for b in segment.segment(b"\xff" * 40 + bomb)] == ["DEFAULT"]
+
+
+@settings(max_examples=60, deadline=None)
+@given(raw=st.binary(max_size=1500), kinds=st.lists(st.integers(0, 4), max_size=40))
+def test_predictors_are_reversible(raw, kinds):
+    rows = bytearray(raw)
+    for k in range(len(raw) // 49):
+        rows[k * 49] = kinds[k % len(kinds)] if kinds else 0
+    assert C.predictors_decode(C.predictors_encode(bytes(rows))) == bytes(rows)
+
+
+def test_predictors_undo_gradients():
+    """A slope in both directions is constant under each predictor but the first."""
+    x = (np.arange(16)[None, :, None] * 2 + np.arange(8)[:, None, None] * 3 + np.zeros(3, int)).astype(np.uint8)
+    pixels = x.reshape(8, 48)
+    for kind in range(5):
+        filtered = C.predictors_decode(bytes([kind] * 8) + pixels.tobytes())
+        assert C.predictors_encode(filtered) == bytes([kind] * 8) + pixels.tobytes()
+    assert C.paeth(np.uint8(10), np.uint8(20), np.uint8(10)) == 20 and C.paeth(np.uint8(7), np.uint8(7), np.uint8(7)) == 7
+
+
+def test_runs_and_colours_have_their_format():
+    assert C.runs_encode(b"a" * 5 + b"bc") == bytes((0x84,)) + b"a" + b"\x01bc"
+    assert C.runs_encode(b"x" * 200) == bytes((0xFF,)) + b"x" + bytes((0xC7,)) + b"x"
+    assert C.colours_encode(bytes((1, 2, 5)) * 16)[:3] == bytes((2, 253, 1))
+
+
+def test_first_matches_that_do_not_decode_hide_nothing():
+    good = b"plain words, nothing else. " * 4
+    bad = b";base64," + b"A" * 33 + b"!!"
+    found = [b[0] for b in segment.segment(bad + b" and ;base64," + base64.b64encode(good) + b" end") if b[4] == 0]
+    assert "BASE64" in found
+
+
+def test_containers():
+    from loamspark.plans.block_queries import wrapped
+
+    text = b"plain words, nothing else. " * 20
+    assert [(b[0], b[4]) for b in segment.segment(wrapped(text, 1))][1:3] == [("ZLIB", 0), ("TEXT", 1)]
+    table = segment.segment(wrapped(text, 2))
+    assert table == [("DBF", 0, len(wrapped(text, 2)), 40, 0)]
+    assert segment.segment(text, forced="DEFAULT") == [("DEFAULT", 0, len(text), 0, 0)]
+    tar = wrapped(text, 0)
+    assert C.tar_decode(C.tar_encode(tar)) == tar and C.tar_encode(tar) != tar
+
+
+def test_archive_header(spark, tmp_path):
+    from loamspark.sources import archive
+
+    files = spark.createDataFrame([("a", b"x" * 100), ("b", None), ("c", bytes(range(256)))], "path string, content binary")
+    archive.write(files, f"file://{tmp_path}/one")
+    assert {r["path"]: bytes(r["content"]) for r in archive.extract(spark, f"file://{tmp_path}/one").collect()} == {"a": b"x" * 100, "b": b"", "c": bytes(range(256))}
+    assert {r["verdict"] for r in archive.compare(files, f"file://{tmp_path}/one").collect()} == {"equal"}
+    with pytest.raises(Exception, match="(?i)exist"):
+        archive.write(files, f"file://{tmp_path}/one")
+    spark.createDataFrame([("zip", 1, 6)], "magic string, version int, level int").write.parquet(f"{tmp_path}/two/header")
+    with pytest.raises(ValueError, match="no archive"):
+        archive.contents(spark, f"file://{tmp_path}/two")
 
 
 def test_segments():
