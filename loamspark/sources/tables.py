@@ -24,13 +24,21 @@ def manifest(lines: DataFrame, column: str = "line", order: str = "n") -> DataFr
     return lines.where(F.col(order) > 0).select(F.col(order), path.alias("path")).where(~F.col("path").rlike(r"^(/|\\|[A-Za-z]:)") & (F.col("path") != ""))
 
 
-def shared_path(spark: SparkSession, name: str) -> str:
-    """A new place in the folder that driver and executors share; one of our own only where the cluster names none."""
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that driver and executors share. One of our own only where the cluster names none and all run on this machine."""
     known = spark.conf.get("spark.checkpoint.dir", "")
     if not known:
+        master = spark.sparkContext.master
+        if not master.startswith("local[") and master != "local":
+            raise RuntimeError(f"spark.checkpoint.dir must name a folder that all executors of {master} share")
         known = f"file://{tempfile.mkdtemp(prefix='shared-')}"
         spark.conf.set("spark.checkpoint.dir", known)
-    return f"{known}/{name}-{uuid.uuid4().hex}"
+    return known
+
+
+def shared_path(spark: SparkSession, name: str) -> str:
+    """A new place in the shared folder."""
+    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
 def append_log(df: DataFrame, path: str) -> None:
