@@ -4,35 +4,20 @@ from __future__ import annotations
 
 import atexit
 import functools
-import tempfile
 import uuid
 from collections.abc import Callable, Iterable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.tables import shared_dir as shared_dir
+from ..sources.tables import table as table
+
 #: Rows of a few narrow columns that may be broadcast (about 16 MB); more are joined by a shuffle.
 BROADCAST_ROWS = 500_000
 #: Bytes of one Arrow batch that goes to a Python worker.
 BATCH_BYTES = 8 << 20
 
-
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share. One of our own only where the cluster names none and all run on this machine."""
-    known = spark.conf.get("spark.checkpoint.dir", "")
-    if not known:
-        master = spark.sparkContext.master
-        if not master.startswith("local[") and master != "local":
-            raise RuntimeError(f"spark.checkpoint.dir must name a folder that all executors of {master} share")
-        known = f"file://{tempfile.mkdtemp(prefix='shared-')}"
-        spark.conf.set("spark.checkpoint.dir", known)
-    return known
-
-
 #: Tables that results may still read; they go when Python ends.
 _OPEN: dict[str, SparkSession] = {}
 
