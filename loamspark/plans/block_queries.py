@@ -123,15 +123,16 @@ def manifest_paths(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def blocked(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "events").select("event_id", "value", F.floor(F.col("event_id") / 4096).alias("block"), (F.col("value") > 50).cast("int").alias("y"))
+    """Events in blocks of 4,096 by their id: sequences of bounded length, however many events there are."""
+    return table(spark, sf, "events").select("event_id", "value", F.floor(F.col("event_id") / 4096).alias("block"), (F.col("value") > 50).cast("int").alias("y"), F.pmod(F.xxhash64("event_type"), F.lit(8)).cast("int").alias("kind"))
 
 
 def mixer_loss(spark: SparkSession, sf: str) -> DataFrame:
-    return blocked(spark, sf).groupBy("block").applyInPandas(learn.mixed_loss, "block bigint, n bigint, bits double")
+    return blocked(spark, sf).groupBy("block").applyInPandas(learn.mixed_loss, "block bigint, n bigint, bits double, bits_calibrated double")
 
 
 def ols_online(spark: SparkSession, sf: str) -> DataFrame:
-    return blocked(spark, sf).groupBy("block").applyInPandas(learn.online_fit, "block bigint, n bigint, error double")
+    return blocked(spark, sf).groupBy("block").applyInPandas(learn.online_fit, "block bigint, n bigint, error double, error_filter double")
 
 
 QUERIES = {f.__name__: f for f in (eol_roundtrip, base64_roundtrip, codec_roundtrip, stream_trials, archive_roundtrip, containers, segment_blocks, block_type_predicates, manifest_paths, mixer_loss, ols_online, stream_context_counts, stream_hourly, stream_hopping, batch_sessions)}

@@ -143,3 +143,41 @@ def test_mixer_beats_its_worst_input():
     q = learn.mix(p, y)
     loss = lambda v: -np.log2(np.where(y == 1, v, 1 - v)).mean()
     assert loss(q) < loss(p[:, 1]) and loss(q) < 1.0
+
+
+def test_weight_sets_learn_by_context():
+    """One input is right in one context and wrong in the other: a set of weights for each context tells them apart."""
+    rng = np.random.default_rng(2)
+    c = rng.integers(0, 2, 4000)
+    y = (rng.random(4000) < 0.5).astype(float)
+    p = np.where((y == 1) == (c == 0), 0.8, 0.2)[:, None].repeat(2, axis=1)
+    loss = lambda q: -np.log2(np.where(y == 1, q, 1 - q))[2000:].mean()
+    assert loss(learn.mix(p, y, contexts=c)) < 0.4 < 0.9 < loss(learn.mix(p, y))
+
+
+def test_calibration_moves_towards_the_truth():
+    rng = np.random.default_rng(4)
+    y = (rng.random(6000) < 0.7).astype(float)
+    stages = [learn.Calibration(), learn.Calibration()]
+    q = np.array([learn.chain(0.4, stages, (0, 0), v) for v in y])
+    assert q[0] == pytest.approx(0.4, abs=0.01) and abs(q[-500:].mean() - 0.7) < 0.15
+    flat = learn.Calibration()
+    assert all(abs(flat.step(p, 0, p) - p) < 0.02 for p in (0.02, 0.3, 0.5, 0.9))
+
+
+def test_least_squares_forms_agree():
+    rng = np.random.default_rng(5)
+    x, w = rng.normal(size=(300, 4)), rng.normal(size=4)
+    y = x @ w + rng.normal(size=300) * 0.01
+    # with the ridge forgotten alike, both forms are the same regression
+    assert np.allclose(learn.least_squares(x, y, 1.0), learn.batch_least_squares(x, y, 1.0), atol=1e-6)
+    assert np.abs(learn.batch_least_squares(x, y, every=8) - y)[100:].max() < 0.2
+
+
+def test_filters_follow_a_wave():
+    v = np.sin(np.arange(3000) / 7) * 10
+    filtered = learn.normalised_filter(learn.taps(v, 16), v)
+    assert np.abs(filtered - v)[-300:].mean() < 1.5
+    fitted = learn.linear_predictions(v[:600], 32)
+    assert fitted.shape == (600, 3) and np.abs(fitted - v[:600, None])[-100:].max() < 0.1
+    assert learn.taps(np.arange(1.0, 5), 2, 2).tolist() == [[0, 0], [0, 0], [1, 0], [2, 0]]
