@@ -39,6 +39,12 @@ def circular(a: Column, b: Column) -> Column:
     return F.least(F.abs(a - b), F.lit(256) - F.abs(a - b))
 
 
+def paeth(left: Column, up: Column, corner: Column) -> Column:
+    """Of three neighbours that nearest to left + up - corner; ties go to the left, then the upper one."""
+    a, b, c = F.abs(up - corner), F.abs(left - corner), F.abs(left + up - corner * 2)
+    return F.when((a <= b) & (a <= c), left).when(b <= c, up).otherwise(corner)
+
+
 def vli_cost(x: Column) -> Column:
     """Bytes of a non-negative long at 7 bits a byte."""
     return F.greatest(F.lit(1), F.ceil(bits(x) / F.lit(7))).cast("int")

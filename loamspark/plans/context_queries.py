@@ -24,6 +24,7 @@ def order_entropy(order: int, key: str):
 
 
 HIGHEST = 6
+HIGH_ORDERS = (8, 11, 14)
 
 
 def order_ladder(spark: SparkSession, sf: str) -> DataFrame:
@@ -57,10 +58,28 @@ def word_contexts(spark: SparkSession, sf: str) -> DataFrame:
     return E.conditional(C.pair_counts(docs(spark, sf, "lang", "text"), ["lang"], "text"), ["lang"], ["a"])
 
 
+#: Contexts of the word before, as Spark and as SQL have them.
+WORD_CONTEXTS = {
+    "word": ("a", "a"),
+    "initial": ("left(a, 1)", "left(a, 1)"),
+    "first2": ("left(a, 2)", "left(a, 2)"),
+    "first3": ("left(a, 3)", "left(a, 3)"),
+    "ending": ("right(a, 2)", "right(a, 2)"),
+    "last3": ("right(a, 3)", "right(a, 3)"),
+    "last4": ("right(a, 4)", "right(a, 4)"),
+    "length": ("cast(length(a) as string)", "length(a)::varchar"),
+    "ends": ("concat(left(a, 1), right(a, 1))", "left(a, 1) || right(a, 1)"),
+    "ending_length": ("concat(right(a, 2), cast(length(a) as string))", "right(a, 2) || length(a)"),
+    "consonants": ("regexp_replace(a, '[aeiou]', '')", "regexp_replace(a, '[aeiou]', '', 'g')"),
+    "vowels": ("regexp_replace(a, '[^aeiou]', '')", "regexp_replace(a, '[^aeiou]', '', 'g')"),
+    "classes": ("regexp_replace(regexp_replace(a, '[aeiou]', 'a'), '[b-df-hj-np-tv-z]', 'b')", "regexp_replace(regexp_replace(a, '[aeiou]', 'a', 'g'), '[b-df-hj-np-tv-z]', 'b', 'g')"),
+}
+
+
 def text_contexts(spark: SparkSession, sf: str) -> DataFrame:
-    """Bits of a word's initial under several contexts of the word before: whole, ending, length. One count of word pairs serves all."""
+    """Bits of a word's initial under many contexts of the word before. One count of word pairs serves all."""
     pairs = C.pair_counts(docs(spark, sf, "text"), [], "text").groupBy("a", F.left("b", F.lit(1)).alias("c")).agg(F.sum("n").alias("n"))
-    ctx = F.array(F.struct(F.lit("word").alias("kind"), F.col("a").alias("ctx")), F.struct(F.lit("ending").alias("kind"), F.right("a", F.lit(2)).alias("ctx")), F.struct(F.lit("length").alias("kind"), F.length("a").cast("string").alias("ctx")))
+    ctx = F.array(*[F.struct(F.lit(k).alias("kind"), F.expr(x).alias("ctx")) for k, (x, _) in WORD_CONTEXTS.items()])
     rows = pairs.select(F.explode(ctx).alias("k"), "c", "n").groupBy("k.kind", "k.ctx", "c").agg(F.sum("n").alias("n"))
     return E.conditional(rows, ["kind"], ["ctx"])
 
@@ -204,8 +223,8 @@ def archive_catalog(spark: SparkSession, sf: str) -> DataFrame:
 
 def scalar_maths(spark: SparkSession, sf: str) -> DataFrame:
     k, v = F.col("l_orderkey"), F.col("l_quantity")
-    rows = table(spark, sf, "lineitem").select(M.ilog2(k).alias("ilog2"), M.log_scaled(k).alias("llog"), F.bit_count(k).alias("ones"), M.vli_cost(k * 1000).alias("vli"), M.leading_zeros(k).alias("clz"), M.circular(F.pmod(k, F.lit(256)), F.pmod(k * 7, F.lit(256))).alias("dist"), F.round(M.stretch(v / 51), 6).alias("logit"), F.round(M.squash((v - 25) / 10), 6).alias("p"))
-    return rows.groupBy("ilog2", "vli", "clz").agg(F.count("*").alias("n"), F.sum("llog").alias("llog"), F.sum("ones").alias("ones"), F.sum("dist").alias("dist"), F.round(F.sum("logit"), 3).alias("logit"), F.round(F.sum("p"), 3).alias("p"))
+    rows = table(spark, sf, "lineitem").select(M.ilog2(k).alias("ilog2"), M.log_scaled(k).alias("llog"), F.bit_count(k).alias("ones"), M.vli_cost(k * 1000).alias("vli"), M.leading_zeros(k).alias("clz"), M.circular(F.pmod(k, F.lit(256)), F.pmod(k * 7, F.lit(256))).alias("dist"), M.paeth(*[F.pmod(k * m, F.lit(256)) for m in (1, 7, 13)]).alias("paeth"), F.round(M.stretch(v / 51), 6).alias("logit"), F.round(M.squash((v - 25) / 10), 6).alias("p"))
+    return rows.groupBy("ilog2", "vli", "clz").agg(F.count("*").alias("n"), F.sum("llog").alias("llog"), F.sum("ones").alias("ones"), F.sum("dist").alias("dist"), F.sum("paeth").alias("paeth"), F.round(F.sum("logit"), 3).alias("logit"), F.round(F.sum("p"), 3).alias("p"))
 
 
 K = 9
@@ -262,14 +281,15 @@ def first_difference(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def block_type_markov(spark: SparkSession, sf: str) -> DataFrame:
-    """Types of a page's pieces (markup, text, script, comment) given the one before."""
+    """Types of a page's pieces (markup, text, script, comment) given the three before."""
     kind = lambda x: F.when(x.startswith("<!--"), "comment").when(x.rlike("(?i)^<(?:script|style)"), "code").when(x.startswith("<"), "markup").otherwise("text")
     pieces = T.extract(F.col("html"), r"(?s)<!--.*?-->|<(?:script|style).*?</(?:script|style)>|<[^>]*>|[^<]+")
-    rows = table(spark, sf, "pages").select(F.explode(T.pairs(F.transform(pieces, kind))).alias("p"))
-    return rows.groupBy(F.col("p.a").alias("before"), F.col("p.b").alias("type")).agg(F.count("*").alias("n"))
+    rows = table(spark, sf, "pages").select(F.transform(pieces, kind).alias("k"))
+    each = F.transform("k", lambda x, i: F.struct(*[F.when(i >= j, F.get("k", i - j)).alias(f"before{j}") for j in (1, 2, 3)], x.alias("type")))
+    return rows.select(F.inline(each)).where("before1 is not null").groupBy("before3", "before2", "before1", "type").agg(F.count("*").alias("n"))
 
 
-NAMED = {"order0_entropy_by_lang": order_entropy(0, "lang"), "order1_entropy_by_lang": order_entropy(1, "lang"), "order2_entropy_by_source": order_entropy(2, "source")}
+NAMED = {f"order{k}_entropy_by_lang": order_entropy(k, "lang") for k in HIGH_ORDERS} | {"order0_entropy_by_lang": order_entropy(0, "lang"), "order1_entropy_by_lang": order_entropy(1, "lang"), "order2_entropy_by_source": order_entropy(2, "source")}
 QUERIES = NAMED | {f.__name__: f for f in (order_ladder, skip_contexts, char_group_contexts, chart_contexts, word_contexts, text_contexts, context_history, next_bit_probabilities, laplace_bit_prob, event_type_markov, event_run_lengths, indirect_history, bit_history_states, running_mean_error, fast_slow_estimates, loss_history, residual_histogram, column_extrapolation, sliding_histogram, calibration_bins, interpolated_calibration, linear_fit_by_user, archive_totals, archive_catalog, scalar_maths, last_match_kgram, match_runs, masked_matches, lag_similarity_best, record_period_vote, first_difference, block_type_markov)}
 
 
@@ -303,7 +323,7 @@ _P = "x as (select quality, toxic, n_chars / (n_chars + 2000.0) as p from labels
 _AGG = "count(*) as n_places, count(prev) as n_matched, sum(pos - prev)::bigint as sum_gap"
 _BITS = "case when k <= 0 then 0 else length(bin(k)) end"
 
-SQL = {
+SQL = {f"order{k}_entropy_by_lang": _conditional(_ones(_grams(k, "lang")), "lang", "ctx", "c") for k in HIGH_ORDERS} | {
     "order0_entropy_by_lang": _conditional(_ones(_grams(0, "lang")), "lang", "ctx", "c"),
     "order1_entropy_by_lang": _conditional(_ones(_grams(1, "lang")), "lang", "ctx", "c"),
     "order2_entropy_by_source": _conditional(_ones(_grams(2, "source")), "source", "ctx", "c"),
@@ -312,7 +332,7 @@ SQL = {
     "char_group_contexts": _conditional(r"(select lang, regexp_replace(regexp_replace(regexp_replace(regexp_replace(ctx, '[a-z]+', 'a', 'g'), '[A-Z]+', 'A', 'g'), '[0-9]+', '0', 'g'), '[\x{80}-\x{10FFFF}]+', 'x', 'g') as ctx, c, n from " + f"(select lang, ctx, c, count(*) as n from {_grams(5, 'lang')} group by all))", "lang", "ctx", "c"),
     "chart_contexts": _conditional(f"(select left(a, 1) as initial, right(a, 2) as ending, b, n from ({_pairs(WORDS, 'documents')}))", "", "initial, ending", "b"),
     "word_contexts": _conditional(f"(select lang, p[1] as a, p[2] as b, 1 as n from (select lang, unnest(list_zip(w[1:len(w) - 1], w[2:])) as p from (select lang, {WORDS} as w from documents) where len(w) > 1))", "lang", "a", "b"),
-    "text_contexts": f"with p as materialized ({_pairs(WORDS, 'documents')}) " + _conditional("(select 'word' as kind, a as ctx, left(b, 1) as c, n from p union all select 'ending', right(a, 2), left(b, 1), n from p union all select 'length', length(a)::varchar, left(b, 1), n from p)", "kind", "ctx", "c"),
+    "text_contexts": f"with p as materialized (select a, left(b, 1) as c, sum(n) as n from ({_pairs(WORDS, 'documents')}) group by 1, 2) " + _conditional("(" + " union all ".join(f"select '{k}' as kind, {x} as ctx, c, n from p" for k, (_, x) in WORD_CONTEXTS.items()) + ")", "kind", "ctx", "c"),
     "context_history": f"select ctx, sum(n)::bigint as n_seen, count(*) as n_symbols, first(c order by n desc, c) as top from (select ctx, c, count(*) as n from {_grams(2, 'lang')} group by all) group by ctx",
     "next_bit_probabilities": "with h as (select lang, unnest(regexp_extract_all(hex(encode(text)), '..')) as h from documents), c as (select lang, ('0x' || h)::int as b, count(*) as n from h group by all) select lang, bit::int as bit, ((b + 256) >> (8 - bit))::int as ctx, sum(n)::bigint as n, sum(n * ((b >> (7 - bit)) & 1))::bigint as n1, round(sum(n * ((b >> (7 - bit)) & 1)) / sum(n), 6) as p1 from c, range(8) t(bit) group by 1, 2, 3",
     "laplace_bit_prob": "select quality, count(toxic) as n, sum(toxic)::bigint as n1, round((2 * sum(toxic) + 1) / (2 * count(toxic) + 2), 6) as p from labels group by 1",
@@ -331,7 +351,7 @@ SQL = {
     "linear_fit_by_user": "select user_id, count(*) as n, round(regr_slope(value, event_id::double), 6) as slope, round(regr_r2(value, event_id::double), 6) as r2 from events group by 1",
     "archive_totals": "select source, lang, count(*) as n_blocks, sum(strlen(text))::bigint as bytes, sum(greatest(1, ceil(length(bin(strlen(text))) / 7)))::bigint as header_bytes from documents group by rollup (source, lang)",
     "archive_catalog": "select doc_id, source, strlen(text)::bigint as length, case when contains(text, chr(13) || chr(10)) and not regexp_matches(text, '(?:^|[^\\r])\\n') then 'TEXT_EOL' else 'TEXT' end as type, coalesce(sum(strlen(text)) over (partition by source order by doc_id rows between unbounded preceding and 1 preceding), 0)::bigint as start from documents",
-    "scalar_maths": f"select greatest(0, {_BITS} - 1)::int as ilog2, greatest(1, ceil(length(bin(k * 1000)) / 7))::int as vli, (32 - {_BITS})::int as clz, count(*) as n, sum(case when k <= 0 then 0 else round(log2(k) * 16) end)::bigint as llog, sum(bit_count(k))::bigint as ones, sum(least(abs(k % 256 - k * 7 % 256), 256 - abs(k % 256 - k * 7 % 256)))::bigint as dist, round(sum(round(greatest(-8, least(8, ln(v / 51 / (1 - v / 51)))), 6)), 3) as logit, round(sum(round(1 / (1 + exp(-(v - 25) / 10)), 6)), 3) as p from (select l_orderkey as k, l_quantity as v from lineitem) group by 1, 2, 3",
+    "scalar_maths": f"select greatest(0, {_BITS} - 1)::int as ilog2, greatest(1, ceil(length(bin(k * 1000)) / 7))::int as vli, (32 - {_BITS})::int as clz, count(*) as n, sum(case when k <= 0 then 0 else round(log2(k) * 16) end)::bigint as llog, sum(bit_count(k))::bigint as ones, sum(least(abs(k % 256 - k * 7 % 256), 256 - abs(k % 256 - k * 7 % 256)))::bigint as dist, sum(case when abs(b - c) <= abs(a - c) and abs(b - c) <= abs(a + b - 2 * c) then a when abs(a - c) <= abs(a + b - 2 * c) then b else c end)::bigint as paeth, round(sum(round(greatest(-8, least(8, ln(v / 51 / (1 - v / 51)))), 6)), 3) as logit, round(sum(round(1 / (1 + exp(-(v - 25) / 10)), 6)), 3) as p from (select l_orderkey as k, l_quantity as v, l_orderkey % 256 as a, l_orderkey * 7 % 256 as b, l_orderkey * 13 % 256 as c from lineitem) group by 1, 2, 3",
     "last_match_kgram": f"select lang, {_AGG} from {_matches('text', K)} group by 1",
     "match_runs": f"""with m as (select *, pos - prev as gap from {_matches('text', K)} where prev is not null), n as (select *, case when pos - lag(pos) over (partition by doc_id, gap order by pos) <= 2 then 0 else 1 end as new from m),
 r as (select doc_id, gap, min(pos) as start, max(pos) - min(pos) + {K} as length from (select *, sum(new) over (partition by doc_id, gap order by pos) as run from n) group by doc_id, gap, run)
@@ -347,5 +367,5 @@ u as (select file, unnest(string_split(content, '')) as c, generate_subscripts(s
 g as (select {', '.join(f'i - lag(i, {k}) over w as b{k}' for k in range(1, 7))} from u window w as (partition by file, c order by i))
 select b1::int as period, count(*) as votes from g where b1 > 1 and b2 = 2 * b1 and b3 = 3 * b1 and (b1 > 32 or b4 = 4 * b1) and (b1 > 10 or (b5 = 5 * b1 and b6 = 6 * b1)) group by 1 order by votes desc, period limit 5""",
     "first_difference": "select a.doc_id, (case when a.text = b.text then null else (select coalesce(min(i) - 1, least(length(a.text), length(b.text))) from (select unnest(range(1, least(length(a.text), length(b.text)) + 1)) as i, unnest(string_split(a.text, '')[1:least(length(a.text), length(b.text))]) as x, unnest(string_split(b.text, '')[1:least(length(a.text), length(b.text))]) as y) where x != y) end)::int as place from documents a join documents b on b.doc_id = a.doc_id + 1",
-    "block_type_markov": r"select p[1] as before, p[2] as type, count(*) as n from (select unnest(list_zip(k[1:len(k) - 1], k[2:])) as p from (select list_transform(regexp_extract_all(html, '(?s)<!--.*?-->|<(?:script|style).*?</(?:script|style)>|<[^>]*>|[^<]+'), lambda x: case when x like '<!--%' then 'comment' when regexp_matches(x, '(?i)^<(?:script|style)') then 'code' when x like '<%' then 'markup' else 'text' end) as k from pages) where len(k) > 1) group by 1, 2",
+    "block_type_markov": r"select before3, before2, before1, type, count(*) as n from (select type, lag(type, 1) over w as before1, lag(type, 2) over w as before2, lag(type, 3) over w as before3 from (select page_id, unnest(k) as type, generate_subscripts(k, 1) as i from (select page_id, list_transform(regexp_extract_all(html, '(?s)<!--.*?-->|<(?:script|style).*?</(?:script|style)>|<[^>]*>|[^<]+'), lambda x: case when x like '<!--%' then 'comment' when regexp_matches(x, '(?i)^<(?:script|style)') then 'code' when x like '<%' then 'markup' else 'text' end) as k from pages)) window w as (partition by page_id order by i)) where before1 is not null group by all",
 }

@@ -86,6 +86,18 @@ def number_sequence_codes(spark: SparkSession, sf: str) -> DataFrame:
     return rows.groupBy("code", "log_diff").agg(F.count("*").alias("n"))
 
 
+def expected_numbers(spark: SparkSession, sf: str) -> DataFrame:
+    """Numbers told by the two before: one more, the same or one less, as these rise, stay or fall; whole, and all digits but the last."""
+    both = docs(spark, sf, "text").unionByName(table(spark, sf, "pages").select(F.col("html").alias("text"))).select(T.numbers(F.col("text")).alias("x"))
+    three = F.transform("x", lambda v, i: F.struct(*[F.when(i >= k, F.get("x", i - k)).alias(f"x{k}") for k in (0, 1, 2)]))
+    rows = both.select(F.inline(three)).where("x2 is not null")
+    rows = rows.select(F.col("x0").cast("string").alias("now"), F.signum(F.col("x1") - F.col("x2")).cast("int").alias("step"), "x1")
+    rows = rows.withColumn("told", (F.col("x1") + F.col("step")).cast("string"))
+    head = lambda c: F.expr(f"left({c}, length({c}) - 1)")
+    near = (F.length("now") == F.length("told")) & (F.length("now") > 1) & (head("now") == head("told"))
+    return rows.groupBy("step").agg(F.count("*").alias("n"), F.sum((F.col("now") == F.col("told")).cast("bigint")).alias("n_told"), F.sum(near.cast("bigint")).alias("n_but_last"))
+
+
 def char_shape_topk(spark: SparkSession, sf: str) -> DataFrame:
     urls = table(spark, sf, "pages").select(F.col("url").alias("v"))
     names = table(spark, sf, "customer").select(F.col("c_name").alias("v")).unionByName(table(spark, sf, "part").select(F.col("p_name").alias("v"))).unionByName(urls)
@@ -229,7 +241,7 @@ def vector_distance_consecutive(spark: SparkSession, sf: str) -> DataFrame:
     return v.join(before, "vec_id").select("vec_id", F.round(F.sqrt(square), 5).alias("distance"))
 
 
-QUERIES = {f.__name__: f for f in (token_counts, token_len_hist, word_bigrams_topk, alnum_tokens, keyword_counts, topic_counts, expression_lengths, word_history, sentence_types, paragraph_counts, number_sequence_codes, char_shape_topk, nesting_depth_max, nest_contexts, content_type_flags, html_tag_counts, html_tag_tree, indentation_hist, line_stats, since_event, vowel_classes, quote_lengths, hyphenation_joined, utf8_validity, affix_counts, embedding_lookup, embedding_pairs, vector_distance_consecutive)}
+QUERIES = {f.__name__: f for f in (token_counts, token_len_hist, word_bigrams_topk, alnum_tokens, keyword_counts, topic_counts, expression_lengths, word_history, sentence_types, paragraph_counts, number_sequence_codes, expected_numbers, char_shape_topk, nesting_depth_max, nest_contexts, content_type_flags, html_tag_counts, html_tag_tree, indentation_hist, line_stats, since_event, vowel_classes, quote_lengths, hyphenation_joined, utf8_validity, affix_counts, embedding_lookup, embedding_pairs, vector_distance_consecutive)}
 
 _FLAGS = " + ".join(f"case when regexp_matches(v, '{p.replace(chr(39), chr(39) * 2)}') then {1 << k} else 0 end" for k, (_, p) in enumerate(T.CONTENT))
 
@@ -270,6 +282,11 @@ SQL = {
 with x as (select list_filter(list_transform(regexp_extract_all(text, '[0-9]+'), lambda d: right(d, 18)::bigint), lambda v: v > 0) as x from (select text from documents union all select html as text from pages)),
 p as (select unnest(x) as now, unnest(list_prepend(0::bigint, x[1:len(x) - 1])) as was from x where len(x) > 0)
 select (1 + (now >= was)::int + (now > was)::int)::int as code, least(3, case when now = was then 0 else length(bin(abs(now - was))) - 1 end)::int as log_diff, count(*) as n from p group by 1, 2""",
+    "expected_numbers": """
+with x as (select list_filter(list_transform(regexp_extract_all(text, '[0-9]+'), lambda d: right(d, 18)::bigint), lambda v: v > 0) as x from (select text from documents union all select html as text from pages)),
+p as (select unnest(x[3:])::varchar as now, unnest(x[2:len(x) - 1]) as x1, unnest(x[1:len(x) - 2]) as x2 from x where len(x) > 2),
+t as (select now, sign(x1 - x2)::int as step, (x1 + sign(x1 - x2)::bigint)::varchar as told from p)
+select step, count(*) as n, sum((now = told)::int)::bigint as n_told, sum((length(now) = length(told) and length(now) > 1 and left(now, -1) = left(told, -1))::int)::bigint as n_but_last from t group by 1""",
     "char_shape_topk": r"select regexp_replace(regexp_replace(regexp_replace(regexp_replace(v, '[a-z]+', 'a', 'g'), '[A-Z]+', 'A', 'g'), '[0-9]+', '0', 'g'), '[\x{80}-\x{10FFFF}]+', 'x', 'g') as shape, count(*) as n from (select c_name as v from customer union all select p_name from part union all select url from pages) group by 1 order by n desc, shape limit 20",
     "nesting_depth_max": r"""
 with b as (select page_id, regexp_extract_all(html, '[()\[\]{}<>]') as b from pages),
