@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import atexit
 import functools
+import threading
 import uuid
-from collections.abc import Callable, Iterable
+from collections.abc import Callable, Iterable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -20,6 +22,7 @@ BATCH_BYTES = 8 << 20
 
 #: Tables that results may still read; they go when Python ends.
 _OPEN: dict[str, SparkSession] = {}
+_SCOPE = threading.local()
 
 
 def _delete(path: str) -> None:
@@ -43,12 +46,35 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     _OPEN[path] = spark
+    if getattr(_SCOPE, "paths", None) is not None:
+        _SCOPE.paths.append(path)
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out.stored_at = path
     return out
 
 
+@contextmanager
+def scratch() -> Iterator[Callable[[DataFrame], DataFrame]]:
+    """A stretch of work whose stored tables all go at its end, but those that are given to what it yields."""
+    outer, _SCOPE.paths, kept = getattr(_SCOPE, "paths", None), [], []
+
+    def keep(df: DataFrame) -> DataFrame:
+        kept.append(df.stored_at)
+        return df
+
+    try:
+        yield keep
+    finally:
+        made, _SCOPE.paths = _SCOPE.paths, outer
+        for path in made:
+            if path in kept:
+                if outer is not None:
+                    outer.append(path)
+            else:
+                _delete(path)
+
+
 def forget(*tables: DataFrame) -> None:
     """Deletes stored tables that nothing reads any more."""
     for t in tables:

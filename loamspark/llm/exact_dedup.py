@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import attach, forget, run_id, shielded, sized, stored, table
+from .common import attach, run_id, scratch, shielded, sized, stored, table
 
 SPACE = "[\\x20\\x09-\\x0D]+"
 FAN_IN = 16
@@ -68,14 +68,19 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     )
 
 
-@shielded
-def drop_exact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs, with its own columns, without the rows that exact_groups does not keep."""
+def _marks(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """__mark (doc_id, length and hash of a row's text), kept: of rows that go, and of those of which one of several stays."""
     found = stored(exact_groups(docs, id_col, text_col).where("group_size > 1").select("doc_id", "chars", "text_hash", "kept"), "exact-groups")
     same = ["doc_id", "chars", "text_hash"]
     marks = found.groupBy(*same).agg(F.max("kept").alias("kept"), F.count("*").alias("rows"))
-    marks = stored(marks.where("not kept or rows > 1").select(F.struct(*same).alias("__mark"), "kept"), "exact-marks")
-    forget(found)
+    return stored(marks.where("not kept or rows > 1").select(F.struct(*same).alias("__mark"), "kept"), "exact-marks")
+
+
+@shielded
+def drop_exact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """docs, with its own columns, without the rows that exact_groups does not keep."""
+    with scratch() as keep:
+        marks = keep(_marks(docs, id_col, text_col))
     text = F.coalesce(F.col(text_col), F.lit(""))
     named = docs.withColumn("__own", F.struct(F.col(id_col).alias("doc_id"), F.length(text).cast("long").alias("chars"), F.xxhash64(text).alias("text_hash")))
     joined = named.join(sized(marks.withColumnRenamed("kept", "__kept")), F.col("__own") == F.col("__mark"), "left")

@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import attach, bounded_batches, components, forget, run_id, shielded, sized, stored, table
+from .common import attach, bounded_batches, components, forget, run_id, scratch, shielded, sized, stored, table
 
 SHINGLE, SEED, BITS, MOST = 3, 42, 64, 2
 PIVOTS, BLOCKS, BUCKET = 12, 4, 32
@@ -156,7 +156,8 @@ def drop_near(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     Rows that share this doc_id all stay (exact dedup is another operator), and so do rows
     of a component that has no doc_id.
     """
-    gone = stored(near_groups(docs, id_col, text_col).where("doc_id != component_id").select(F.col("doc_id").alias("__gone")).distinct(), "near-gone")
+    with scratch() as keep:
+        gone = keep(stored(near_groups(docs, id_col, text_col).where("doc_id != component_id").select(F.col("doc_id").alias("__gone")).distinct(), "near-gone"))
     return docs.join(sized(gone), F.col(id_col) == F.col("__gone"), "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
