@@ -29,7 +29,7 @@ TRAIN_DOCS, LANGS = 4_000, 200
 BUCKETS, SMOOTH, FLOOR = 1 << 16, 0.3, 1e-3
 ROUNDS, PENALTY = 8, 2.0
 #: Floats that one piece of text may need at once.
-PIECE = 4_000_000
+PIECE = 1_500_000
 FOUND = "struct<lang:string,score:double,langs:array<string>,shares:array<double>>"
 
 _WORDS = bytes(c if c >= 128 or chr(c).isalpha() else 32 for c in range(256))

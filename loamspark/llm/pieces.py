@@ -40,7 +40,7 @@ SPREAD = np.uint64(0xD6E8FEB86659FD93)
 #: Words beyond this length are segmented one by one with a heap, in n log n.
 LONG = 48
 #: Characters taken at once; a longer text is cut where a word begins, which no piece crosses.
-PIECE = 400_000
+PIECE = 250_000
 NORMAL, UNKNOWN, BYTE = 1, 2, 6
 
 codecs.register_error("each-byte", lambda e: ("\ufffd", e.start + 1))
