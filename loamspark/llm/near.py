@@ -1,13 +1,14 @@
 """Near-dedup of the pipeline: five-word shingles, similarity (Jaccard of the sets) of 0.8 or more.
 
-op2's fingerprints at 2 bits are its query's contract and far tighter, so they are not used here.
-
-1. A document's node is the digest of its set of shingle hashes. BANDS keys of ROWS minima each are its buckets: two
-   sets of similarity 0.8 share none with probability 5e-8, of 0.9 with 1e-15.
-2. In every bucket all members are compared with one of them by their whole sets: with the one that meets most others in all its buckets,
-   which in a group of copies is what they were copied from. So a group of any size costs rows linear in it. Links so far make components.
-3. Pairs of two components are compared too if they share one of the rarest shingles of both (`across_pairs`, a filter that loses none),
-   so a component is that of all links between documents that share a bucket. Bits or signatures decide nothing.
+1. A document's node is the digest of its set of shingle hashes. SimHash: the set's majority bits are its fingerprint, whose pivot
+   distances by block (simhash.pivot_tables) give the first of its buckets; they lose no pair at 2 or fewer differing bits.
+2. Sets of similarity 0.8 differ by more bits than pivots can select by, so BANDS keys of ROWS minima each are further buckets: two
+   such sets share none with probability 5e-8, of 0.9 with 1e-15.
+3. In every bucket all members are compared with one of them by their whole sets: with the one that meets most others in all its buckets,
+   which in a group of copies is what they were copied from. So a group of any size costs rows linear in it. In a pivot bucket those
+   are discarded whose distances to any pivot differ by more than 2 (triangle inequality). Links so far make components.
+4. Pairs of two components are compared too if they share one of the rarest shingles of both (`across_pairs`, a filter that loses none),
+   so a component is that of all links between documents that share a bucket with any. Whole sets alone decide what links.
 
 Defined cases: words as in op2; fewer than five words are one shingle; null text and text without words have the empty
 set, equal to itself; one document of each component stays, that of the smallest doc_id, and rows without one.
@@ -24,6 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import attach, bounded_batches, components, run_id, scratch, shielded, sized, stored
+from .simhash import candidate_keys, majority, reachable
 
 SHINGLE, SEED, BANDS, ROWS = 5, 42, 32, 4
 #: Similarity as a fraction of integers, so that exactly 0.8 counts.
@@ -58,7 +60,7 @@ def _lists(parts: list[np.ndarray]) -> pa.Array:
 
 def _prints(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
     for texts in batches:
-        yield _lists([np.array([node_of(s), *band_keys(s)], np.uint64) for t in texts for s in [shingles(t.as_py())]])
+        yield _lists([np.array([node_of(s), majority(s), *band_keys(s)], np.uint64) for t in texts for s in [shingles(t.as_py())]])
 
 
 def _sets(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
@@ -90,37 +92,45 @@ def across_pairs(sets: DataFrame, tops: DataFrame) -> DataFrame:
     """(a, b): pairs of two components that can be similar. sets: node, n, set; tops: u, v as components() gives them.
 
     Two sets of similarity 0.8 share a shingle among the rarest n - ceil(0.8 n) + 1 of each, whatever breaks ties. What a copy has
-    of its own is rarest, so copies that are too far from each other share none of these, and few pairs are left.
+    of its own is rarest, so copies that are too far from each other share none of these, and few pairs are left. What comes before the
+    first shingle they share is in one set only, so they share no more than what is left of either: at that shingle this must do.
     """
     each = sets.select("node", "n", F.explode("set").alias("shingle"))
     often = each.groupBy("shingle").agg(F.count("*").alias("often"))
     rare = each.join(often, "shingle").groupBy("node", "n").agg(F.sort_array(F.collect_list(F.struct("often", "shingle"))).alias("all"))
     size = (F.col("n") - F.ceil(F.col("n") * LEAST[0] / LEAST[1]) + 1).cast("int")
-    keys = rare.select("node", "n", F.explode(F.slice("all", F.lit(1), size)).alias("s")).where("s.often > 1").select("node", "n", F.col("s.shingle").alias("shingle"))
+    keys = rare.select("node", "n", F.posexplode(F.slice("all", F.lit(1), size)).alias("at", "s")).where("s.often > 1").select("node", (F.col("n") - F.col("at")).alias("left"), "n", F.col("s.shingle").alias("shingle"))
     placed = keys.join(tops.select(F.col("u").alias("node"), F.col("v").alias("top")), "node", "left").withColumn("top", F.coalesce("top", "node"))
     placed = stored(placed, "near-rare")
     open_ = placed.groupBy("shingle").agg(F.min("top").alias("low"), F.max("top").alias("high")).where("low != high").select("shingle")
     rest = stored(placed.join(sized(stored(open_, "near-open")), "shingle", "left_semi"), "near-rest")
     pairs = rest.alias("l").join(rest.alias("r"), "shingle").where("l.node < r.node and l.top != r.top").where(_sizes_fit("l.n", "r.n"))
+    pairs = pairs.where((LEAST[0] + LEAST[1]) * F.least("l.left", "r.left") >= LEAST[0] * (F.col("l.n") + F.col("r.n")))
     return pairs.select(F.col("l.node").alias("a"), F.col("r.node").alias("b"))
 
 
+def bucket_keys(nodes: DataFrame) -> DataFrame:
+    """key, node, reach: the pivot buckets of each node with its fingerprint's pivot distances, and its bands without. nodes: node, fp, keys."""
+    bands = nodes.select(F.explode("keys").alias("key"), "node", F.lit(None).cast("array<tinyint>").alias("reach"))
+    return candidate_keys(nodes, "node").select("key", "node", "reach").unionByName(bands)
+
+
 def near_tops(docs: DataFrame, prints: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """node, top: of each node with a similar one but the first of its component. prints: doc_id, node, keys."""
-    keys = prints.groupBy("node").agg(F.first("keys").alias("keys")).select("node", F.explode("keys").alias("key"))
+    """node, top: of each node with a similar one but the first of its component. prints: doc_id, node, fp, keys."""
+    keys = bucket_keys(prints.groupBy("node").agg(F.first("fp").alias("fp"), F.first("keys").alias("keys")))
     shared = stored(keys.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "near-shared")
     held_in = stored(keys.join(sized(shared), "key"), "near-held-in")
     # the member that meets most others is the likeliest to be what the others were copied from; ties are broken in another way in every bucket
     central = held_in.join(held_in.groupBy("node").agg(F.sum("n").alias("met")), "node")
-    hubs = central.groupBy("key").agg(F.max(F.struct("met", F.col("node").bitwiseXOR(F.col("key")), "node"))["node"].alias("hub"))
-    members = stored(held_in.select("key", "node").join(hubs, "key"), "near-members")
+    hubs = central.groupBy("key").agg(F.max(F.struct("met", F.col("node").bitwiseXOR(F.col("key")), "node", "reach")).alias("h")).select("key", F.col("h.node").alias("hub"), F.col("h.reach").alias("hub_reach"))
+    members = stored(held_in.select("key", "node", "reach").join(hubs, "key").select("node", "hub", F.coalesce(reachable(F.col("reach"), F.col("hub_reach")), F.lit(True)).alias("meets")), "near-members")
     held = stored(members.select("node").distinct(), "near-held")
     owners = prints.join(sized(held), "node", "left_semi").groupBy("node").agg(F.min("doc_id").alias("doc_id"))
     owners = stored(owners.select(F.col("doc_id").alias("__owner")).distinct(), "near-owners")
     texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).join(sized(owners), F.col("doc_id").eqNullSafe(F.col("__owner")), "left_semi")
     sets = texts.select(F.arrow_udf(_sets, "array<long>")(F.col("text")).alias("s")).select(F.get("s", F.lit(0)).alias("node"), F.slice("s", 2, F.greatest(F.size("s") - 1, F.lit(0))).alias("set"))
     sets = stored(sets.join(sized(held), "node", "left_semi").dropDuplicates(["node"]).withColumn("n", F.size("set")), "near-sets")
-    stars = stored(_ordered(members.select(F.col("hub").alias("a"), F.col("node").alias("b"))), "near-stars")
+    stars = stored(_ordered(members.where("meets").select(F.col("hub").alias("a"), F.col("node").alias("b"))), "near-stars")
     edges = stored(similar(stars, sets), "near-edges")
     tops = components(edges)
     across = stored(_ordered(across_pairs(sets, tops)).join(stars, ["u", "v"], "left_anti"), "near-across")
@@ -135,7 +145,7 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     bounded_batches(docs.sparkSession)
     found: Column = F.arrow_udf(_prints, "array<long>")(F.col(text_col))
     prints = docs.select(F.col(id_col).alias("doc_id"), found.alias("s"), run_id().alias("run"))
-    prints = stored(prints.select("doc_id", "run", F.get("s", F.lit(0)).alias("node"), F.slice("s", 2, BANDS).alias("keys")), "near-prints")
+    prints = stored(prints.select("doc_id", "run", F.get("s", F.lit(0)).alias("node"), F.get("s", F.lit(1)).alias("fp"), F.slice("s", 3, BANDS).alias("keys")), "near-prints")
     nodes = prints.groupBy("node").agg(F.min("doc_id").alias("low"))
     placed = stored(nodes.join(sized(near_tops(docs, prints, id_col, text_col)), "node", "left").withColumn("top", F.coalesce("top", "node")), "near-nodes")
     groups = placed.join(placed.groupBy("top").agg(F.min("low").alias("component_id")), "top").select("node", "component_id")

@@ -46,8 +46,12 @@ def fingerprint(text: str | bytes | None, shingle: int = SHINGLE) -> int:
     n = max(1, len(words) - shingle + 1)
     lo, hi = starts[:n].tolist(), ends[min(shingle, len(words)) - 1 :].tolist()
     digest = xxhash.xxh64_intdigest
-    hashes = np.fromiter((digest(joined[a:b], SEED) for a, b in zip(lo, hi, strict=True)), np.uint64, n)
-    set_in = np.zeros(BITS, np.int64)
+    return majority(np.fromiter((digest(joined[a:b], SEED) for a, b in zip(lo, hi, strict=True)), np.uint64, n))
+
+
+def majority(hashes: np.ndarray) -> int:
+    """The bits set in over half the hashes; of none zero."""
+    n, set_in = len(hashes), np.zeros(BITS, np.int64)
     for k in range(0, n, 1 << 16):
         part = hashes[k : k + (1 << 16)].astype("<u8").view(np.uint8)
         bits = np.unpackbits(part, bitorder="little")
@@ -82,8 +86,8 @@ def pivots(n: int = PIVOTS) -> list[int]:
     return out
 
 
-def pivot_tables(nodes: DataFrame) -> DataFrame:
-    """fp, table_0 .. table_3 (a block's pivot distances, 5 bits each) and reach (the whole distances)."""
+def pivot_tables(nodes: DataFrame, *also: str) -> DataFrame:
+    """fp, columns of nodes, table_0 .. table_3 (a block's pivot distances, 5 bits each) and reach (the whole distances)."""
     width = BITS // BLOCKS
     near = lambda p, b: F.expr(f"bit_count((fp ^ {p}L) & shiftleft({2**width - 1}L, {b * width}))").cast("long")
     packed = []
@@ -93,14 +97,19 @@ def pivot_tables(nodes: DataFrame) -> DataFrame:
             col = col + F.shiftleft(near(p, b), 5 * k)
         packed.append(col.alias(f"table_{b}"))
     reach = F.array(*[F.expr(f"cast(bit_count(fp ^ {p}L) as tinyint)") for p in pivots()])
-    return nodes.select("fp", *packed, reach.alias("reach"))
+    return nodes.select("fp", *also, *packed, reach.alias("reach"))
 
 
-def candidate_keys(nodes: DataFrame) -> DataFrame:
+def candidate_keys(nodes: DataFrame, *also: str) -> DataFrame:
     """A row for each fingerprint and pair of blocks: key, fp, reach. Keys are hashes; a clash only adds a pair to verify."""
     pairs = [(a, b) for a in range(BLOCKS) for b in range(a + 1, BLOCKS)]
     keys = F.array(*[F.xxhash64(F.lit(i), f"table_{a}", f"table_{b}") for i, (a, b) in enumerate(pairs)])
-    return pivot_tables(nodes).select(F.explode(keys).alias("key"), "fp", "reach")
+    return pivot_tables(nodes, *also).select(F.explode(keys).alias("key"), "fp", *also, "reach")
+
+
+def reachable(x: Column, y: Column) -> Column:
+    """Whether no pivot's distances x and y differ by more than MOST: fingerprints that link always do so (triangle inequality)."""
+    return F.forall(F.zip_with(x, y, lambda a, b: F.abs(a.cast("int") - b.cast("int"))), lambda d: d <= MOST)
 
 
 def pivot_buckets(nodes: DataFrame) -> DataFrame:
@@ -115,8 +124,7 @@ def links(shared: DataFrame) -> DataFrame:
 
     def partners(x: Column) -> Column:
         def fits(y: Column) -> Column:
-            far = F.zip_with(x["reach"], y["reach"], lambda a, b: F.abs(a.cast("int") - b.cast("int")))
-            return (y["fp"] > x["fp"]) & F.forall(far, lambda d: d <= MOST) & (F.bit_count(x["fp"].bitwiseXOR(y["fp"])) <= MOST)
+            return (y["fp"] > x["fp"]) & reachable(x["reach"], y["reach"]) & (F.bit_count(x["fp"].bitwiseXOR(y["fp"])) <= MOST)
 
         return F.transform(F.filter("all", fits), lambda y: F.struct(x["fp"].alias("u"), y["fp"].alias("v")))
 

@@ -71,3 +71,18 @@ def test_awkward_and_empty(spark, awkward, no_docs):
     assert Counter((r["doc_id"], r["component_id"]) for r in out) == Counter(slow_components(rows))
     assert near.drop_similar(no_docs).collect() == []
     assert near.drop_similar(awkward).columns == awkward.columns
+
+
+def test_pivot_distances_alone_find_a_link(spark):
+    """Without any band, texts whose fingerprints differ by 2 bits or less meet by pivot distances; whole sets decide, so equal fingerprints of unlike texts do not link."""
+    words = [f"w{k}" for k in range(1000)]
+    texts = {1: " ".join(words), 2: " ".join([*words[:-1], "other"]), 3: " ".join(f"z{k}" for k in range(1000))}
+    sets = {i: near.shingles(t) for i, t in texts.items()}
+    prints = {i: near.majority(s) for i, s in sets.items()}
+    assert 0 < (prints[1] ^ prints[2]).bit_count() <= 2
+    prints[3] = prints[1]
+    signed = lambda x: x - 2**64 if x >= 2**63 else x
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    rows = [(i, signed(near.node_of(sets[i])), signed(prints[i]), []) for i in texts]
+    tops = near.near_tops(docs, spark.createDataFrame(rows, "doc_id long, node long, fp long, keys array<long>"), "doc_id", "text").collect()
+    assert [{r["node"], r["top"]} for r in tops] == [{rows[0][1], rows[1][1]}]
