@@ -128,7 +128,9 @@ def near_tops(docs: DataFrame, prints: DataFrame, id_col: str, text_col: str) ->
     owners = prints.join(sized(held), "node", "left_semi").groupBy("node").agg(F.min("doc_id").alias("doc_id"))
     owners = stored(owners.select(F.col("doc_id").alias("__owner")).distinct(), "near-owners")
     texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).join(sized(owners), F.col("doc_id").eqNullSafe(F.col("__owner")), "left_semi")
-    sets = texts.select(F.arrow_udf(_sets, "array<long>")(F.col("text")).alias("s")).select(F.get("s", F.lit(0)).alias("node"), F.slice("s", 2, F.greatest(F.size("s") - 1, F.lit(0))).alias("set"))
+    # called nondeterministic, or the semi join moves below and has the sets computed twice, by two Python workers a task
+    found = F.arrow_udf(_sets, "array<long>").asNondeterministic()
+    sets = texts.select(found(F.col("text")).alias("s")).select(F.get("s", F.lit(0)).alias("node"), F.slice("s", 2, F.greatest(F.size("s") - 1, F.lit(0))).alias("set"))
     sets = stored(sets.join(sized(held), "node", "left_semi").dropDuplicates(["node"]).withColumn("n", F.size("set")), "near-sets")
     stars = stored(_ordered(members.where("meets").select(F.col("hub").alias("a"), F.col("node").alias("b"))), "near-stars")
     edges = stored(similar(stars, sets), "near-edges")

@@ -86,3 +86,11 @@ def test_pivot_distances_alone_find_a_link(spark):
     rows = [(i, signed(near.node_of(sets[i])), signed(prints[i]), []) for i in texts]
     tops = near.near_tops(docs, spark.createDataFrame(rows, "doc_id long, node long, fp long, keys array<long>"), "doc_id", "text").collect()
     assert [{r["node"], r["top"]} for r in tops] == [{rows[0][1], rows[1][1]}]
+
+
+def test_texts_are_read_by_one_python_node(spark, monkeypatch):
+    """A second one doubles an executor's Python workers, which stay for the stages that follow."""
+    plans, real = {}, near.stored
+    monkeypatch.setattr(near, "stored", lambda df, name: (plans.setdefault(name, df._jdf.queryExecution().executedPlan().toString()), real(df, name))[1])
+    near.similar_groups(spark.read.parquet(f"{SMALL}/documents.parquet"))
+    assert {name: n for name, plan in plans.items() if (n := plan.count("ArrowEvalPython"))} == {"near-prints": 1, "near-sets": 1}
