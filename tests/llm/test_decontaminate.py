@@ -102,3 +102,13 @@ def test_one_python_node_however_many_blocks(spark, monkeypatch):
     assert {r["doc_id"]: (r["n_words"], r["n_hit"], r["item_ids"]) for r in out.collect()} == want
     monkeypatch.undo()
     assert d.decontaminate(docs, bench)._jdf.queryExecution().executedPlan().toString().count("ArrowEvalPython") == 1
+
+
+def test_words_are_counted_alike(spark):
+    """By the JVM as by the scan, between any two characters of note; and by a class without ranges, of which each costs a call for each character."""
+    marks = [chr(c) for c in (*range(256), 0x2003, 0xD7FF, 0xE000, 0xFFFD, 0xFFFF, 0x10000, 0x1F642, 0x10FFFF)]
+    rows = [(k, "".join(f"a{m}b{m} " for m in marks) + "".join(f"{m}{x}" for x in marks)) for k, m in enumerate(marks)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    none = spark.createDataFrame([], "item_id long, text string")
+    assert {r["doc_id"]: r["n_words"] for r in d.decontaminate(docs, none).collect()} == {k: len(d.words(t)) for k, t in rows}
+    assert "-" not in d.WORD and d.WORD.endswith("++")
