@@ -36,12 +36,28 @@ def dense(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.unique(values, return_inverse=True)
 
 
+def ranked(code: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """dense() of code points: by a table of them, without a sort."""
+    seen = np.zeros(int(code.max()) + 1 if len(code) else 1, bool)
+    seen[code] = True
+    return np.flatnonzero(seen).astype(code.dtype), (np.cumsum(seen, dtype=np.int64) - 1)[code]
+
+
+def groups_of(batch: pa.RecordBatch, n_keys: int) -> list[list[int]]:
+    """Places of a batch's rows by the values of its first n_keys columns."""
+    owners = zip(*(batch.column(i).to_pylist() for i in range(n_keys)), strict=True) if n_keys else [()] * batch.num_rows
+    groups: dict[tuple, list[int]] = {}
+    for i, owner in enumerate(owners):
+        groups.setdefault(owner, []).append(i)
+    return list(groups.values())
+
+
 def gram_ids(symbols: np.ndarray, k: int, stride: int = 1) -> np.ndarray:
-    """A number for each k symbols, every stride-th, that begin at a place: equal for equal ones only."""
+    """A number for each k code points, every stride-th, that begin at a place: equal for equal ones only."""
     n = len(symbols) - (k - 1) * stride
     if n <= 0:
         return np.zeros(0, np.int64)
-    known, place = dense(symbols)
+    known, place = ranked(symbols)
     out, size = place[:n].astype(np.int64), max(2, len(known))
     room = size
     for j in range(1, k):

@@ -9,6 +9,7 @@ from ..functions import maths as M
 from ..functions import text as T
 from ..operators import counting as C
 from ..operators import entropy as E
+from ..operators import grams as G
 from ..operators import repeats as R
 from ..operators import sequences as S
 from ..sources.tables import table
@@ -17,6 +18,8 @@ from .text_queries import FOLD, WORDS, _pairs, docs
 
 def order_entropy(order: int, key: str):
     def query(spark: SparkSession, sf: str) -> DataFrame:
+        if order in HIGH_ORDERS:
+            return G.entropy(docs(spark, sf, key, "text"), [key], "text", order)
         counts = C.gram_counts(docs(spark, sf, key, "text"), [key], "text", order)
         return E.conditional(counts.select(key, F.left("g", F.lit(order)).alias("ctx"), "n"), [key], ["ctx"])
 
