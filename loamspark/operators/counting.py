@@ -1,4 +1,4 @@
-"""Counts of grams, bytes and word pairs: made for a batch of texts at once by numpy or a Counter, then summed by a group-by.
+"""Counts of grams, bytes and word pairs: made for a batch of texts at once by numpy and Arrow, then summed by a group-by.
 
 Only distinct (key, symbol) rows of a batch leave the Python worker, so what is shuffled is what a map-side combination leaves.
 Batches are bounded by bytes, so a worker's memory does not grow with the texts. Null texts have nothing to count.
@@ -7,11 +7,11 @@ Batches are bounded by bytes, so a worker's memory does not grow with the texts.
 from __future__ import annotations
 
 import re
-from collections import Counter
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -124,26 +124,93 @@ def words(text: str) -> list[str]:
     return _WORD.findall(text.translate(_FOLD))
 
 
-def pair_counts(df: DataFrame, keys: list[str], text_col: str) -> DataFrame:
-    """keys, a, b, n: neighbouring words of a text."""
+#: What a byte of UTF-8 is in a word, 0 outside of words.
+_LETTER = np.array([c + 32 if 65 <= c <= 90 else c if 97 <= c <= 122 or c in b"'-" or c >= 128 else 0 for c in range(256)], np.uint8)
+
+
+def split_words(texts: pa.Array) -> tuple[np.ndarray, pa.Array, np.ndarray]:
+    """words() of many texts at once: the number of each word, the different words, and the place of each word's text. Null texts have none."""
+    if texts.null_count:
+        texts = texts.fill_null("")
+    wide = pa.types.is_large_string(texts.type)
+    _, offsets, data = texts.buffers()
+    at = np.frombuffer(offsets, np.int64 if wide else np.int32)[texts.offset : texts.offset + len(texts) + 1].astype(np.int64) if len(texts) else np.zeros(1, np.int64)
+    letter = _LETTER[np.frombuffer(data, np.uint8)[at[0] : at[-1]]] if data is not None else np.zeros(0, np.uint8)
+    at = at - at[0]
+    inside = np.zeros(len(letter) + 2, bool)
+    inside[1:-1] = letter != 0
+    new = np.zeros(len(letter) + 1, bool)  # at which a text begins
+    new[at] = True
+    first = np.flatnonzero(inside[1:] & (~inside[:-1] | new))
+    last = np.flatnonzero(inside[:-1] & (~inside[1:] | new))
+    ends = np.concatenate(([0], np.cumsum(last - first)))
+    kind = pa.large_string() if wide else pa.string()
+    found = pa.Array.from_buffers(kind, len(first), [None, pa.py_buffer(ends.astype(np.int64 if wide else np.int32)), pa.py_buffer(letter[letter != 0])]).dictionary_encode()
+    return found.indices.to_numpy(zero_copy_only=False).astype(np.int64), found.dictionary.cast(pa.string()), np.searchsorted(at, first, "right") - 1
+
+
+def _counted(df: DataFrame, keys: list[str], text_col: str, kind: str, names: list[str], count: Callable[[pa.Array, np.ndarray], tuple[np.ndarray, list, np.ndarray]]) -> DataFrame:
+    """keys, names, n: count() turns texts, and the number of each text's key, into the key's number, the columns and n of what it has counted."""
+    bounded_batches(df.sparkSession)
+    rows = df.select(*keys, F.col(text_col).alias("__text")).where("__text is not null")
+    types = {f.name: f.dataType.simpleString() for f in rows.schema.fields}
 
-    def count(texts: list[str]) -> list:
-        found: Counter[tuple[str, str]] = Counter()
-        for t in texts:
-            w = words(t)
-            found.update(zip(w, w[1:]))
-        return [pa.array([a for a, _ in found], pa.string()), pa.array([b for _, b in found], pa.string()), pa.array(list(found.values()), pa.int64())]
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            groups = groups_of(batch, len(keys))
+            owner = np.zeros(batch.num_rows, np.int64)
+            for g, at in enumerate(groups):
+                owner[at] = g
+            g, columns, n = count(batch.column(len(keys)), owner)
+            if len(n):
+                at = pa.array(np.array([x[0] for x in groups])[g])
+                yield pa.RecordBatch.from_arrays([*(batch.column(i).take(at) for i in range(len(keys))), *columns, pa.array(n.astype(np.int64))], names=[*keys, *names, "n"])
+
+    schema = ", ".join([*(f"`{k}` {types[k]}" for k in keys), kind, "n bigint"])
+    return rows.mapInArrow(run, schema).groupBy(*keys, *names).agg(F.sum("n").alias("n"))
 
-    return _summed(df, keys, text_col, "a string, b string", ["a", "b"], count)
+
+def _views(known: pa.Array, views: list[tuple[int, int | None]]) -> tuple[np.ndarray, int, list[pa.Array]]:
+    """The number of each word's views (slices of its characters), how many there are, and the views by their number."""
+    number, size, parts = np.zeros(len(known), np.int64), 1, []
+    for start, stop in views:
+        part = known if (start, stop) == (0, None) else pc.utf8_slice_codeunits(known, start, stop)
+        code = part.dictionary_encode()
+        parts.append(part)
+        number = number * len(code.dictionary) + code.indices.to_numpy(zero_copy_only=False)
+        different, first, number = np.unique(number, return_index=True, return_inverse=True)
+        size = len(different)
+    return number, size, [p.take(pa.array(first)) for p in parts]
+
+
+#: A word as it is.
+WHOLE = [(0, None)]
+
+
+def pair_counts(df: DataFrame, keys: list[str], text_col: str, a: dict[str, tuple[int, int | None]] | None = None, b: dict[str, tuple[int, int | None]] | None = None) -> DataFrame:
+    """keys, a, b, n: neighbouring words of a text. a and b may name slices of the words (from, to) that are counted in their place."""
+    a, b = a or {"a": WHOLE[0]}, b or {"b": WHOLE[0]}
+
+    def count(texts: pa.Array, owner: np.ndarray) -> tuple[np.ndarray, list, np.ndarray]:
+        word, known, text = split_words(texts)
+        if len(word) < 2:
+            return np.zeros(0, np.int64), [], np.zeros(0, np.int64)
+        left, n_left, left_parts = _views(known, list(a.values()))
+        right, n_right, right_parts = _views(known, list(b.values()))
+        near = np.flatnonzero(text[1:] == text[:-1])
+        pairs, n = np.unique((owner[text[near]] * n_left + left[word[near]]) * n_right + right[word[near + 1]], return_counts=True)
+        g, first = np.divmod(pairs // n_right, n_left)
+        return g, [*(p.take(pa.array(first)) for p in left_parts), *(p.take(pa.array(pairs % n_right)) for p in right_parts)], n
+
+    return _counted(df, keys, text_col, ", ".join(f"`{k}` string" for k in (*a, *b)), [*a, *b], count)
 
 
 def word_counts(df: DataFrame, keys: list[str], text_col: str) -> DataFrame:
     """keys, word, n."""
 
-    def count(texts: list[str]) -> list:
-        found: Counter[str] = Counter()
-        for t in texts:
-            found.update(words(t))
-        return [pa.array(list(found), pa.string()), pa.array(list(found.values()), pa.int64())]
+    def count(texts: pa.Array, owner: np.ndarray) -> tuple[np.ndarray, list, np.ndarray]:
+        word, known, text = split_words(texts)
+        found, n = np.unique(owner[text] * max(1, len(known)) + word, return_counts=True)
+        return found // max(1, len(known)), [known.take(pa.array(found % max(1, len(known))))], n
 
-    return _summed(df, keys, text_col, "word string", ["word"], count)
+    return _counted(df, keys, text_col, "word string", ["word"], count)
