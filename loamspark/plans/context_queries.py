@@ -81,7 +81,7 @@ WORD_CONTEXTS = {
 
 def text_contexts(spark: SparkSession, sf: str) -> DataFrame:
     """Bits of a word's initial under many contexts of the word before. One count of word pairs serves all."""
-    pairs = C.pair_counts(docs(spark, sf, "text"), [], "text").groupBy("a", F.left("b", F.lit(1)).alias("c")).agg(F.sum("n").alias("n"))
+    pairs = C.pair_counts(docs(spark, sf, "text"), [], "text", b={"c": (0, 1)})
     ctx = F.array(*[F.struct(F.lit(k).alias("kind"), F.expr(x).alias("ctx")) for k, (x, _) in WORD_CONTEXTS.items()])
     rows = pairs.select(F.explode(ctx).alias("k"), "c", "n").groupBy("k.kind", "k.ctx", "c").agg(F.sum("n").alias("n"))
     return E.conditional(rows, ["kind"], ["ctx"])
