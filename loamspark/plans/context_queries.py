@@ -51,8 +51,7 @@ def char_group_contexts(spark: SparkSession, sf: str) -> DataFrame:
 
 def chart_contexts(spark: SparkSession, sf: str) -> DataFrame:
     """Words given the last two letters of the word before and its initial: class slots of the history."""
-    pairs = C.pair_counts(docs(spark, sf, "text"), [], "text")
-    slots = pairs.groupBy(F.left("a", F.lit(1)).alias("initial"), F.right("a", F.lit(2)).alias("ending"), "b").agg(F.sum("n").alias("n"))
+    slots = C.pair_counts(docs(spark, sf, "text"), [], "text", a={"initial": (0, 1), "ending": (-2, None)})
     return E.conditional(slots, [], ["initial", "ending"])
 
 
