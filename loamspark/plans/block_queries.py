@@ -36,9 +36,8 @@ def base64_roundtrip(spark: SparkSession, sf: str) -> DataFrame:
 
 def codec_roundtrip(spark: SparkSession, sf: str) -> DataFrame:
     """How many texts each codec takes, and whether all of them come back."""
-    raw = docs(spark, sf, "text").select(F.encode("text", "UTF-8").alias("b"))
-    rows = raw.select(*[C.coded(F.col("b"), k).alias(k) for k in C.CODECS])
-    each = F.explode(F.array(*[F.struct(F.lit(k).alias("codec"), F.col(k).alias("x")) for k in C.CODECS]))
+    rows = docs(spark, sf, "text").select(C.coded(F.encode("text", "UTF-8"), *C.CODECS).alias("all"))
+    each = F.explode(F.array(*[F.struct(F.lit(k).alias("codec"), F.col(f"all.{k}").alias("x")) for k in C.CODECS]))
     return rows.select(each.alias("e")).groupBy("e.codec").agg(F.count("*").alias("n"), F.min("e.x.exact").alias("exact"))
 
 

@@ -38,7 +38,6 @@ def stem_counts(spark: SparkSession, sf: str) -> DataFrame:
 
 def language_rule(spark: SparkSession, sf: str) -> DataFrame:
     """By document language: after how many words the rule of the last 64 words told which language."""
-    C.bounded_batches(spark)
     rows = docs(spark, sf, "lang", "text").select("lang", F.explode(T.language_words(F.col("text"))).alias("told", "n"))
     return rows.groupBy("lang", "told").agg(F.sum("n").alias("n_words"))
 

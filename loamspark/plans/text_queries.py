@@ -18,6 +18,8 @@ WORDS = f"regexp_extract_all({FOLD}, '{WORD_SQL}')"
 
 
 def docs(spark: SparkSession, sf: str, *cols: str) -> DataFrame:
+    """Columns of the documents. Python gets their texts in batches of bounded bytes."""
+    C.bounded_batches(spark)
     return table(spark, sf, "documents").select(*cols)
 
 
