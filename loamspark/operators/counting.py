@@ -37,8 +37,11 @@ def dense(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def ranked(code: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """dense() of code points: by a table of them, without a sort."""
-    seen = np.zeros(int(code.max()) + 1 if len(code) else 1, bool)
+    """dense() of code points: by a table of them, without a sort, where that is not much longer than the text."""
+    size = int(code.max()) + 1 if len(code) else 1
+    if size > 1024 + 4 * len(code):
+        return dense(code)
+    seen = np.zeros(size, bool)
     seen[code] = True
     return np.flatnonzero(seen).astype(code.dtype), (np.cumsum(seen, dtype=np.int64) - 1)[code]
 

@@ -38,16 +38,53 @@ def last_places(ids: np.ndarray) -> np.ndarray:
     return out
 
 
-def last_matches(text: Column, k: int, stride: int = 1) -> Column:
-    """struct(n_places, n_matched, sum_gap): places of k characters (every stride-th), those seen before, and how far back in all."""
-    arrow = pa.struct([("n_places", pa.int64()), ("n_matched", pa.int64()), ("sum_gap", pa.int64())])
+def match_sums(ids: np.ndarray) -> tuple[int, int, int]:
+    """Places, those whose number was seen before, and how far back it last was in all: for a number, from its first place to its last."""
+    n = len(ids)
+    if not n:
+        return 0, 0, 0
+    room = n.bit_length()
+    if int(ids.max()) >> (62 - room):
+        _, ids = dense(ids)
+    key = np.sort((ids << room) | np.arange(n))
+    number, place = key >> room, key & ((1 << room) - 1)
+    new = np.flatnonzero(number[1:] != number[:-1])
+    return n, n - len(new) - 1, int(place[new].sum() + place[-1] - place[new + 1].sum() - place[0])
+
+
+def folded(code: np.ndarray) -> np.ndarray:
+    """Capital letters A to Z as small ones."""
+    return np.where((code >= 65) & (code <= 90), code + np.uint32(32), code)
+
+
+def letter_classes(code: np.ndarray) -> np.ndarray:
+    """Letters a to z of either case as a, digits as 0."""
+    code = folded(code)
+    return np.where((code >= 97) & (code <= 122), np.uint32(97), np.where((code >= 48) & (code <= 57), np.uint32(48), code))
+
+
+def matches_by_view(text: Column, views: dict[str, tuple[Callable[[np.ndarray], np.ndarray] | None, int, int]]) -> Column:
+    """By view, struct(n_places, n_matched, sum_gap): places of k characters (every stride-th), those seen before, and how far back in all.
+
+    A view is what becomes of the code points (None: nothing), k and stride. One worker makes all views of a text.
+    """
+    names = ("n_places", "n_matched", "sum_gap")
+    arrow = pa.struct([(v, pa.struct([(n, pa.int64()) for n in names])) for v in views])
 
     def one(t: str) -> dict:
-        prev = last_places(gram_ids(codes(t), k, stride))
-        hit = np.flatnonzero(prev >= 0)
-        return {"n_places": len(prev), "n_matched": len(hit), "sum_gap": int((hit - prev[hit]).sum())}
+        code, made, out = codes(t), {}, {}
+        for view, (change, k, stride) in views.items():
+            if change not in made:
+                made[change] = code if change is None else change(code)
+            out[view] = dict(zip(names, match_sums(gram_ids(made[change], k, stride)), strict=True))
+        return out
 
-    return _per_text(text, MATCHED, arrow, one)
+    return _per_text(text, f"struct<{','.join(f'`{v}`:{MATCHED}' for v in views)}>", arrow, one)
+
+
+def last_matches(text: Column, k: int, stride: int = 1) -> Column:
+    """struct(n_places, n_matched, sum_gap) of the text as it is."""
+    return matches_by_view(text, {"m": (None, k, stride)})["m"]
 
 
 def match_runs(text: Column, k: int, recover: int = 1) -> Column:

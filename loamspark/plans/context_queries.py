@@ -233,7 +233,7 @@ K = 9
 
 
 def last_match_kgram(spark: SparkSession, sf: str) -> DataFrame:
-    m = docs(spark, sf, "lang", "text").select("lang", R.last_matches(F.col("text"), K).alias("m")).where("m.n_places > 0")
+    m = docs(spark, sf, "lang", "text").where(F.length("text") >= K).select("lang", R.last_matches(F.col("text"), K).alias("m"))
     return m.groupBy("lang").agg(*[F.sum(f"m.{c}").alias(c) for c in ("n_places", "n_matched", "sum_gap")])
 
 
@@ -244,11 +244,9 @@ def match_runs(spark: SparkSession, sf: str) -> DataFrame:
 
 def masked_matches(spark: SparkSession, sf: str) -> DataFrame:
     """Matches under four views: folded case, plain, every second character, character classes only. One pass over the texts."""
-    t = F.col("text")
-    classes = F.regexp_replace(F.regexp_replace(T.fold(t), "[a-z]", "a"), "[0-9]", "0")
-    views = {"folded": R.last_matches(T.fold(t), 5), "plain": R.last_matches(t, 4), "stride2": R.last_matches(T.fold(t), 5, 2), "classes": R.last_matches(classes, 12)}
-    rows = docs(spark, sf, "text").select(*[m.alias(k) for k, m in views.items()])
-    each = rows.select(F.explode(F.array(*[F.struct(F.lit(k).alias("kind"), F.col(k).alias("m")) for k in views])).alias("e"))
+    views = {"folded": (R.folded, 5, 1), "plain": (None, 4, 1), "stride2": (R.folded, 5, 2), "classes": (R.letter_classes, 12, 1)}
+    rows = docs(spark, sf, "text").select(R.matches_by_view(F.col("text"), views).alias("m"))
+    each = rows.select(F.explode(F.array(*[F.struct(F.lit(k).alias("kind"), F.col(f"m.{k}").alias("m")) for k in views])).alias("e"))
     return each.groupBy("e.kind").agg(*[F.sum(f"e.m.{c}").alias(c) for c in ("n_places", "n_matched", "sum_gap")])
 
 

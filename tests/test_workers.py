@@ -6,7 +6,7 @@ from loamspark.operators import counting
 from loamspark.plans import catalogue
 
 
-@pytest.mark.parametrize("name", ("codec_roundtrip",))
+@pytest.mark.parametrize("name", ("codec_roundtrip", "masked_matches", "last_match_kgram"))
 def test_one_worker_a_task(spark, name):
     """Each evaluation of a Python function that takes batches has a worker of its own."""
     plan = catalogue.queries()[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
