@@ -22,15 +22,10 @@ def symbol_counts(df: DataFrame, keys: list[str], symbols: Column, name: str = "
     return df.select(*keys, F.explode(symbols).alias(name)).groupBy(*keys, name).agg(F.count("*").alias("n"))
 
 
-def ladder(counts: DataFrame, keys: list[str], order: int, gram: str = "g") -> DataFrame:
-    """Entropies of all orders from order down to 0, out of one count of the longest grams: a shorter gram's count is a sum of longer ones'."""
-    out = None
-    for k in range(order, -1, -1):
-        split = counts.select(*keys, F.left(gram, F.lit(k)).alias("ctx"), "n")
-        rows = conditional(split, keys, ["ctx"]).select(*keys, F.lit(k).alias("ctx_order"), "n_symbols", "n_contexts", "bits")
-        out = rows if out is None else out.unionByName(rows)
-        counts = counts.select(*keys, F.expr(f"substring({gram}, 2)").alias(gram), "n").groupBy(*keys, gram).agg(F.sum("n").alias("n"))
-    return out
+def ladder(counts: DataFrame, keys: list[str], gram: str = "g") -> DataFrame:
+    """Entropies of all orders, out of counts of the grams of each (ctx_order): one pass, whatever their number."""
+    split = counts.select(*keys, "ctx_order", F.left(gram, F.col("ctx_order")).alias("ctx"), "n")
+    return conditional(split, [*keys, "ctx_order"], ["ctx"])
 
 
 def laplace(df: DataFrame, keys: list[str], y: str) -> DataFrame:

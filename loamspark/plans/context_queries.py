@@ -31,8 +31,8 @@ HIGH_ORDERS = (8, 11, 14)
 
 
 def order_ladder(spark: SparkSession, sf: str) -> DataFrame:
-    """Orders 6 to 0 from one count."""
-    return E.ladder(C.gram_counts(docs(spark, sf, "lang", "text"), ["lang"], "text", HIGHEST), ["lang"], HIGHEST)
+    """Orders 6 to 0 from one pass over the texts."""
+    return E.ladder(C.ladder_counts(docs(spark, sf, "lang", "text"), ["lang"], "text", HIGHEST), ["lang"])
 
 
 def skip_contexts(spark: SparkSession, sf: str) -> DataFrame:
