@@ -112,10 +112,6 @@ def gram_counts(df: DataFrame, keys: list[str], text_col: str, order: int, pad:
     return _summed(df, keys, text_col, "g string", ["g"], count)
 
 
-#: Different grams that a task holds at most before it passes them on.
-HELD = 2 << 20
-
-
 def _merged(ids: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     by = np.argsort(ids)
     ids = ids[by]
@@ -124,7 +120,7 @@ def _merged(ids: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 class Ladder:
-    """Counts of the order + 1 characters that end at each character, by owner, as numbers with some bits a character; passed on as texts of order + 1 to 1 characters."""
+    """Counts of the order + 1 characters that end at each character, by owner, as numbers with some bits a character."""
 
     def __init__(self, order: int):
         self.order, self.bits = order, min(21, 63 // (order + 1))
@@ -160,66 +156,18 @@ class Ladder:
         self.held = {k: [_merged(np.concatenate([x for x, _ in v]), np.concatenate([y for _, y in v]))] for k, v in self.held.items()}
         self.size = sum(len(v[0][0]) for v in self.held.values())
 
-    def texts(self) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-        """owner, order, grams as rows of code points, n: all that is held, some rows at a time; then nothing is held any more."""
+    def spelled(self, ids: np.ndarray) -> np.ndarray:
+        """Grams of order + 1 characters as rows of code points."""
+        return self.known[(ids[:, None] >> (np.arange(self.order, -1, -1) * self.bits)) & ((1 << self.bits) - 1)]
+
+    def grams(self) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """owner, grams, n: all that is held; then nothing is held any more."""
         self.merge()
         for owner, [(ids, n)] in self.held.items():
-            for k in range(self.order, -1, -1):
-                ids, n = _merged(ids & ((1 << self.bits * (k + 1)) - 1), n)
-                shift = np.arange(k, -1, -1) * self.bits
-                for i in range(0, len(ids), 1 << 16):
-                    yield owner, k, self.known[(ids[i : i + (1 << 16), None] >> shift) & ((1 << self.bits) - 1)], n[i : i + (1 << 16)]
+            yield owner, self.spelled(ids), n
         self.forget()
 
 
-def ladder_counts(df: DataFrame, keys: list[str], text_col: str, order: int, pad: str = "\x02") -> DataFrame:
-    """keys, ctx_order, g, n: for each order down to 0 the ctx_order + 1 characters that end at each character. A task's grams are counted before they leave it."""
-    bounded_batches(df.sparkSession)
-    rows = df.select(*keys, F.col(text_col).alias("__text")).where("__text is not null")
-    types = {f.name: f.dataType.simpleString() for f in rows.schema.fields}
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ladder, owners, columns = Ladder(order), {}, []
-
-        def out(owner: int, k: int, grams: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
-            flat = grams.astype("<u4").tobytes().decode("utf-32-le", "surrogatepass")
-            same = [c.take(pa.array(np.zeros(len(n), np.int32))) for c in columns[owner]]
-            texts = pa.array([flat[i : i + k + 1] for i in range(0, len(flat), k + 1)], pa.string())
-            return pa.RecordBatch.from_arrays([*same, pa.array(np.full(len(n), k, np.int32)), texts, pa.array(n.astype(np.int64))], names=[*keys, "ctx_order", "g", "n"])
-
-        for batch in batches:
-            every = batch.column(len(keys)).to_pylist()
-            for group in groups_of(batch, len(keys)):
-                own = tuple(batch.column(i)[group[0]].as_py() for i in range(len(keys)))
-                if own not in owners:
-                    owners[own] = len(columns)
-                    columns.append([batch.column(i).slice(group[0], 1) for i in range(len(keys))])
-                size = np.array([len(every[i]) for i in group], np.int64)
-                code = codes("".join(pad * order + every[i] for i in group))
-                begin = np.cumsum(size + order) - size - order
-                at = np.repeat(begin - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
-                if not len(at):
-                    continue
-                if not ladder.learn(code):
-                    yield from (out(*x) for x in ladder.texts())
-                    if not ladder.learn(code):  # more different characters than numbers: counted by themselves
-                        ladder.forget()
-                        for k in range(order, -1, -1):
-                            _, first, n = np.unique(gram_ids(code, k + 1)[at + order - k], return_index=True, return_counts=True)
-                            for i in range(0, len(first), 1 << 16):
-                                yield out(owners[own], k, code[(at[first[i : i + (1 << 16)]] + order - k)[:, None] + np.arange(k + 1)], n[i : i + (1 << 16)])
-                        continue
-                ladder.add(owners[own], code, at)
-                if ladder.size > 2 * HELD:
-                    ladder.merge()
-                    if ladder.size > HELD:
-                        yield from (out(*x) for x in ladder.texts())
-        yield from (out(*x) for x in ladder.texts())
-
-    own = "".join(f"`{k}` {types[k]}, " for k in keys)
-    return rows.mapInArrow(run, own + "ctx_order int, g string, n bigint").groupBy(*keys, "ctx_order", "g").agg(F.sum("n").alias("n"))
-
-
 def byte_counts(df: DataFrame, keys: list[str], text_col: str) -> DataFrame:
     """keys, b, n: bytes of the UTF-8 texts."""
 

@@ -22,12 +22,6 @@ def symbol_counts(df: DataFrame, keys: list[str], symbols: Column, name: str = "
     return df.select(*keys, F.explode(symbols).alias(name)).groupBy(*keys, name).agg(F.count("*").alias("n"))
 
 
-def ladder(counts: DataFrame, keys: list[str], gram: str = "g") -> DataFrame:
-    """Entropies of all orders, out of counts of the grams of each (ctx_order): one pass, whatever their number."""
-    split = counts.select(*keys, "ctx_order", F.left(gram, F.col("ctx_order")).alias("ctx"), "n")
-    return conditional(split, [*keys, "ctx_order"], ["ctx"])
-
-
 def laplace(df: DataFrame, keys: list[str], y: str) -> DataFrame:
     """(2 n1 + 1) / (2 (n0 + n1) + 2) for a 0/1 column, by keys."""
     return df.groupBy(*keys).agg(F.count(y).alias("n"), F.sum(y).alias("n1")).withColumn("p", F.round((2 * F.col("n1") + 1) / (2 * F.col("n") + 2), 6))

@@ -32,7 +32,7 @@ HIGH_ORDERS = (8, 11, 14)
 
 def order_ladder(spark: SparkSession, sf: str) -> DataFrame:
     """Orders 6 to 0 from one pass over the texts."""
-    return E.ladder(C.ladder_counts(docs(spark, sf, "lang", "text"), ["lang"], "text", HIGHEST), ["lang"])
+    return G.ladder(docs(spark, sf, "lang", "text"), ["lang"], "text", HIGHEST)
 
 
 def skip_contexts(spark: SparkSession, sf: str) -> DataFrame:
